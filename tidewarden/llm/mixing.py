@@ -8,7 +8,8 @@ balanced on two totals, tokens (words) and documents: the flight moves the
 vector of probabilities along the null space of both constraints, until each
 block of documents has at most two undecided ones. Those of many blocks form
 the blocks of the next flight, and so on, until each source is one block; the
-landing then rounds its last two or so documents to the nearest token total.
+landing then rounds its last two or so documents to the nearest token total and
+makes up for the rest by a few exchanges within the block.
 
 Blocks are dealt out by a hash of the document's id, about `block` documents
 each, whatever the source's size; texts are not moved. Every decision is drawn
@@ -87,13 +88,31 @@ def fly(size: np.ndarray, chance: np.ndarray, rng: np.random.Generator) -> np.nd
     return np.array(p)
 
 
-def land(size: np.ndarray, chance: np.ndarray) -> np.ndarray:
-    """Round the last open chances so that the token total comes nearest to what they promise."""
+def land(size: np.ndarray, chance: np.ndarray, swaps: int = 4) -> np.ndarray:
+    """Round the last open chances so that the token total comes nearest to what they promise.
+
+    What is then missing or too much is made good by exchanges of one taken for
+    one untaken document, which keep the document total.
+    """
     open_ = np.flatnonzero((chance > EPS) & (chance < 1 - EPS))
-    out, goal = chance.copy(), float((chance[open_] * size[open_]).sum())
-    best = min(range(1 << len(open_)), key=lambda m: (abs(sum(float(size[k]) for j, k in enumerate(open_) if m >> j & 1) - goal), m))
+    out, goal = chance.copy(), float((chance * size).sum())
+    rest = goal - float((chance * size)[chance >= 1 - EPS].sum())
+    best = min(range(1 << len(open_)), key=lambda m: (abs(sum(float(size[k]) for j, k in enumerate(open_) if m >> j & 1) - rest), m))
     for j, k in enumerate(open_):
         out[k] = float(best >> j & 1)
+    for _ in range(swaps):
+        short = goal - float((out * size).sum())
+        taken, free = np.flatnonzero(out > 0.5), np.flatnonzero(out < 0.5)
+        if not len(taken) or not len(free):
+            break
+        free = free[np.argsort(size[free], kind="stable")]
+        at = np.searchsorted(size[free], size[taken] + short)
+        near = np.stack([np.clip(at - 1, 0, len(free) - 1), np.clip(at, 0, len(free) - 1)])
+        left = np.abs(short - (size[free[near]] - size[taken]))
+        row, col = np.unravel_index(int(left.argmin()), left.shape)
+        if left[row, col] >= abs(short) - EPS:
+            break
+        out[taken[col]], out[free[near[row, col]]] = 0.0, 1.0
     return out
 
 
