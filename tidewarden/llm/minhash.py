@@ -12,10 +12,12 @@ With 50 bands of 6 a pair at similarity 0.8 shares a band with probability
    hub. Each member is paired with the hub it shares most bands with, and the
    pair is confirmed on the full sets. Confirmed links give components.
 3. Buckets that still hold more than one component are worked through in blocks of
-   `block` members: pairs of different components whose signatures agree in
-   `loose` of their values (six standard errors below the threshold) are confirmed
-   on the full sets as well. Pairs within a component need no test: they cannot
-   change the result. So near-copy groups of n cost about n confirmations.
+   `block` members. Members with a partner in another component whose signature
+   agrees in `loose` of the values (six standard errors below the threshold) go on
+   with their full sets; within a block such pairs are confirmed one by one, but no
+   pair of components that the block has joined already. So a block gives no more
+   links than components, and no pair is passed between tasks. Pairs within a
+   component need no test: they cannot change the result.
 4. Components of the links of both steps, by alternating large and small stars.
 
 Hot keys: hubs are dealt out in parts of `part` members, the hub's set going to
@@ -118,29 +120,55 @@ def features(df: DataFrame, size: int, permutations: int) -> DataFrame:
     return df.mapInArrow(run, "id long, n long, d1 long, d2 long, sig binary")
 
 
-def confirm(df: DataFrame, pairs: DataFrame, size: int, similarity: int, part: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets have 100 * intersection >= similarity * union."""
-    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts"))
-    members = pairs.join(parts, "a").select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("member"))
-    hubs = parts.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("member"))
-    wanted = cut(members.unionByName(hubs).groupBy("id").agg(F.collect_list(F.struct("a", "part", "member")).alias("uses")))
+def with_sets(df: DataFrame, wanted: DataFrame, size: int, schema: str, order: list[str]) -> DataFrame:
+    """wanted (id and the columns of schema) with `codes`, the set of the id's text; dealt by and sorted by `order`, whose last column only sorts.
+
+    Each text is read once, however many rows ask for its set.
+    """
+    fields = [f.split()[0] for f in schema.split(", ")]
+    uses = cut(wanted.groupBy("id").agg(F.collect_list(F.struct(*fields)).alias("uses")))
+    kinds = [{"long": pa.int64(), "int": pa.int32()}[f.split()[1]] for f in schema.split(", ")]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [*kinds, pa.int64(), pa.binary()], strict=True)], [*fields, "id", "codes"])
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for batch in sliced(batches, "text", 2 << 20):
-            rows = []
-            for own, text, uses in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), batch.column("uses").to_pylist(), strict=True):
+            rows, held = [], 0
+            for own, text, asked in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), batch.column("uses").to_pylist(), strict=True):
                 codes = shingle_set(text, size, words).tobytes()
-                for use in uses:
-                    rows.append((use["a"], use["part"], use["member"], own, codes))
-                    if len(rows) >= 256:
-                        yield _batch(rows)
-                        rows = []
+                for use in asked:
+                    rows.append((*(use[f] for f in fields), own, codes))
+                    held += len(codes)
+                    if held > 4 << 20:
+                        yield batch_of(rows)
+                        rows, held = [], 0
             if rows:
-                yield _batch(rows)
+                yield batch_of(rows)
+
+    texts = df.join(small(uses), "id").select("id", "text", "uses")
+    return texts.mapInArrow(run, f"{schema}, id long, codes binary").repartition(*order[:-1]).sortWithinPartitions(*order)
+
+
+def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["a", "part", "member", "id", "codes"])
+
+def shared(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many values of own each of the others has; all sorted, none empty."""
+    every = np.concatenate(others)
+    at = np.minimum(np.searchsorted(own, every), len(own) - 1)
+    starts = np.cumsum([0, *map(len, others[:-1])])
+    return np.add.reduceat((own[at] == every).astype(np.int64), starts)
+
+
+def confirm(df: DataFrame, pairs: DataFrame, size: int, similarity: int, part: int) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets have 100 * intersection >= similarity * union."""
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts"))
+    members = pairs.join(parts, "a").select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("member"))
+    hubs = parts.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("member"))
+    dealt = with_sets(df, members.unionByName(hubs), size, "a long, part int, member int", ["a", "part", "member"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, hub = None, []
@@ -149,21 +177,15 @@ def confirm(df: DataFrame, pairs: DataFrame, size: int, similarity: int, part: i
             for a, p, member, own, codes in zip(*(batch.column(c).to_pylist() for c in ("a", "part", "member", "id", "codes")), strict=True):
                 if now != (a, p):
                     now, hub = (a, p), []
-                own_set = np.frombuffer(codes, np.uint64)
+                mine = np.frombuffer(codes, np.uint64)
                 if not member:
-                    hub.append(own_set)
-                    continue
-                for other in hub:
-                    if 100 * min(len(own_set), len(other)) < similarity * max(len(own_set), len(other)):
-                        continue
-                    both = len(own_set) + len(other) - len(np.union1d(own_set, other))
-                    if 100 * both >= similarity * (len(own_set) + len(other) - both):
+                    hub.append(mine)
+                elif len(mine):
+                    both = shared(mine, hub)
+                    if any(100 * n >= similarity * (len(mine) + len(h) - n) for n, h in zip(both.tolist(), hub, strict=True)):
                         found.append((a, own))
-                        break
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+            yield _links(found)
 
-    texts = df.join(small(wanted), "id").select("id", "text", "uses")
-    dealt = texts.mapInArrow(sets, "a long, part int, member int, id long, codes binary").repartition("a", "part").sortWithinPartitions("a", "part", "member")
     return cut(dealt.mapInArrow(compare, "a long, b long").distinct())
 
 
@@ -183,56 +205,98 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
-def bucket_pairs(rows: DataFrame, bands: int, per_band: int, loose: float) -> DataFrame:
-    """Pairs (a, b), a < b, of different components in a bucket whose signatures agree in `loose` of the values.
+def blocks_of(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], key: int) -> Iterator[list[tuple]]:
+    """Runs of rows that agree in the first `key` of the named columns, however batches cut them."""
+    group: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            if group and group[0][:key] != row[:key]:
+                yield group
+                group = []
+            group.append(row)
+    if group:
+        yield group
+
 
-    rows: key, band, x, y (blocks compared), side (the row's block), id, comp, sig; a pair is given by the first band it shares.
+def near(sigs: np.ndarray, sides: np.ndarray, comps: np.ndarray, i: int, cross: bool, band: int, per_band: int, loose: float) -> np.ndarray:
+    """The later members of a block that are to be compared with member i.
+
+    They are in other components, on the other side where two blocks meet, agree in
+    `loose` of the signature, and this band is the first that the two share.
     """
-    schema = ("key", "band", "x", "y", "side", "id", "comp", "sig")
-
-    def pairs_of(group: list[tuple], band: int, cross: bool) -> Iterator[tuple[int, int]]:
-        sigs = np.frombuffer(b"".join(r[3] for r in group), "<u2").reshape(len(group), -1)
-        ids, comps = np.array([r[1] for r in group]), np.array([r[2] for r in group])
-        sides = np.array([r[0] for r in group])
-        need = loose * sigs.shape[1]
-        for i in range(len(group) - 1):
-            others = np.flatnonzero(comps[i + 1 :] != comps[i]) + i + 1
-            if cross:
-                others = others[sides[others] != sides[i]]
-            if not len(others):
-                continue
-            same = sigs[others] == sigs[i]
-            near = np.flatnonzero(same.sum(axis=1) >= need)
-            for k in near.tolist():
-                if int(same[k].reshape(bands, per_band).all(axis=1).argmax()) == band:
-                    a, b = int(ids[i]), int(ids[others[k]])
-                    yield min(a, b), max(a, b)
+    others = np.flatnonzero(comps[i + 1 :] != comps[i]) + i + 1
+    if cross:
+        others = others[sides[others] != sides[i]]
+    if not len(others):
+        return others
+    same = sigs[others] == sigs[i]
+    close = same.sum(axis=1) >= loose * sigs.shape[1]
+    others, same = others[close], same[close]
+    if not len(others):
+        return others
+    return others[same.reshape(len(others), sigs.shape[1] // per_band, per_band).all(axis=2).argmax(axis=1) == band]
+
+
+def candidates(rows: DataFrame, per_band: int, loose: float) -> DataFrame:
+    """Those of the rows (key, band, x, y, side, comp, id, sig) with a partner to be compared with in their block."""
+    names = ("key", "band", "x", "y", "side", "comp", "id", "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, group = None, []
-        found: list[tuple[int, int]] = []
+        out: list[tuple] = []
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+        def made() -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], list(names[:-1]))
 
-        for batch in batches:
-            for key, band, x, y, *row in zip(*(batch.column(c).to_pylist() for c in schema), strict=True):
-                if now != (key, band, x, y):
-                    if len(group) > 1:
-                        found += pairs_of(group, now[1], now[2] != now[3])
-                    now, group = (key, band, x, y), []
-                group.append(row)
-            yield out()
+        for group in blocks_of(batches, names, 4):
+            if len(group) < 2:
+                continue
+            sigs = np.frombuffer(b"".join(r[7] for r in group), "<u2").reshape(len(group), -1)
+            sides, comps = np.array([r[4] for r in group]), np.array([r[5] for r in group])
+            _, band, x, y = group[0][:4]
+            hit = np.zeros(len(group), bool)
+            for i in range(len(group) - 1):
+                if len(got := near(sigs, sides, comps, i, x != y, band, per_band, loose)):
+                    hit[got] = hit[i] = True
+            out += [group[i][:7] for i in np.flatnonzero(hit)]
+            if len(out) > 10_000:
+                yield made()
+                out.clear()
+        yield made()
+
+    dealt = rows.select(*names).repartition(*names[:4]).sortWithinPartitions(*names[:4])
+    return dealt.mapInArrow(run, "key long, band int, x int, y int, side int, comp long, id long")
+
+
+def settle(df: DataFrame, rows: DataFrame, size: int, similarity: int, signed: MinMax, per_band: int, loose: float) -> DataFrame:
+    """Links (a, b) between different components in the blocks of `rows`, confirmed on full sets."""
+    schema = "key long, band int, x int, y int, side int, comp long"
+    dealt = with_sets(df, rows, size, schema, ["key", "band", "x", "y", "side"])
+    names = ("key", "band", "x", "y", "side", "comp", "id", "codes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in blocks_of(batches, names, 4):
+            sets = [np.frombuffer(r[7], np.uint64) for r in group]
+            sides, comps = np.array([r[4] for r in group]), np.array([r[5] for r in group])
+            sigs = np.stack([signed(x) for x in sets])
+            _, band, x, y = group[0][:4]
             found = []
-        if len(group) > 1:
-            found += pairs_of(group, now[1], now[2] != now[3])
-        yield out()
+            for i in range(len(group) - 1):
+                # comps changes as links are found: what is joined already is left out
+                left = near(sigs, sides, comps, i, x != y, band, per_band, loose)
+                if not len(left):
+                    continue
+                both = shared(sets[i], [sets[j] for j in left])
+                for j, n in zip(left.tolist(), both.tolist(), strict=True):
+                    if comps[j] != comps[i] and 100 * n >= similarity * (len(sets[i]) + len(sets[j]) - n):
+                        found.append((group[i][6], group[j][6]))
+                        comps[comps == comps[j]] = comps[i]
+            yield _links(found)
 
-    dealt = rows.select(*schema).repartition("key", "band", "x", "y").sortWithinPartitions("key", "band", "x", "y")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return cut(dealt.mapInArrow(run, "a long, b long").distinct())
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: int = 80, bands: int = 50, per_band: int = 6, loose: float = 0.66, part: int = 512, block: int = 512) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: int = 80, bands: int = 50, per_band: int = 6, loose: float = 0.66, part: int = 128, block: int = 1024) -> DataFrame:
     """id, n_shingles, component_id, kept; similarity in hundredths."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     made = cut(features(docs, shingle, bands * per_band // 2))
@@ -256,7 +320,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     own = F.pmod(F.xxhash64(F.lit(11), "id"), F.col("blocks")).cast("int")
     rest = rest.withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.withColumns({"x": F.least("side", "other"), "y": F.greatest("side", "other")})
-    more = confirm(docs, cut(bucket_pairs(rest, bands, per_band, loose)), shingle, similarity, part)
+    open_ = cut(candidates(rest, per_band, loose))
+    more = settle(docs, open_, shingle, similarity, MinMax(bands * per_band // 2), per_band, loose)
 
     # Links of the second step join components of the first.
     lifted = more
