@@ -1,0 +1 @@
+"""Column functions and the fixed tables they are built from."""

@@ -1,0 +1 @@
+"""Sources and sinks: message lines, manifests, versioned tables."""
