@@ -20,8 +20,11 @@ columns other than the two named are ignored.
 
 from __future__ import annotations
 
+import re
+import sys
+from array import array
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -32,28 +35,73 @@ from tidewarden.llm.common import sliced
 Piece = tuple[object, int, int, bytes, int]  # document, start, length, its ids, the document's tokens
 
 
-class WordIds(dict):
-    """UTF-8 word -> its ids as little-endian unsigned 32 bit bytes; grows as words are met.
+#: ASCII white space and printable ASCII but for the apostrophe; and Latin-1 letters in UTF-8.
+ASCII = bytes([*range(9, 14), *(c for c in range(32, 127) if c != 39)])
+LATIN = re.compile(rb"(?:\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*")
+#: In lower-cased texts of these alone: a run of letters, a digit, or a run of other characters is one piece.
+PIECE = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+
+
+class Cache(dict):
+    """Key -> value, made when it is missing; forgets everything when it has grown to `most`."""
+
+    def __init__(self, make: Callable[[bytes], bytes], most: int):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key: bytes) -> bytes:
+        value = self.make(key)
+        if len(self) >= self.most:
+            self.clear()
+        self[key] = value
+        return value
+
+
+class WordIds:
+    """The ids of a text, as little-endian unsigned 32 bit bytes.
 
     The tokenizer drops white space and never joins across it, so ids of a text
-    are those of its words in turn.
+    are those of its words in turn, and words are kept once met. A text of ASCII
+    and Latin-1 letters falls into pieces by a plain rule, and pieces go to the
+    tokenizer's model at once; words of other texts go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.words, self.pieces = Cache(self.word, most // 4), Cache(self.piece, most)
 
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > self.most:
-            self.clear()
-            new = list(words)
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                self[word] = b"".join(x.to_bytes(4, "little") for x in got.ids)
+    def piece(self, piece: bytes) -> bytes:
+        text = piece.decode("ascii") if piece.isascii() else "".join(map(BYTE_LETTERS.__getitem__, piece))
+        return _little([t.id for t in self.model.tokenize(text)])
+
+    def word(self, word: bytes) -> bytes:
+        return _little(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
+
+    def __call__(self, text: str | None) -> bytes:
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        if LATIN.fullmatch(raw.translate(None, ASCII)) and b"<|" not in raw:
+            return b"".join(map(self.pieces.__getitem__, PIECE.findall(raw.decode().lower().encode())))
+        return b"".join(map(self.words.__getitem__, raw.split()))
+
+
+def _byte_letters() -> list[str]:
+    """The letter by which byte-level models write each byte: itself if it shows, else the next free one from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    free = iter(range(256, 512))
+    return [chr(b if b in shown else next(free)) for b in range(256)]
+
+
+BYTE_LETTERS = _byte_letters()
+
+
+def _little(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 def best_fill(lengths: dict[int, int], room: int) -> dict[int, int]:
@@ -172,10 +220,8 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
 
         for batch in sliced(batches, text_col, 4 << 20):
             id_type = batch.column(id_col).type
-            texts = [(t or "").encode("utf-8", "surrogatepass").split() for t in batch.column(text_col).to_pylist()]
-            words.learn(set().union(*texts))
-            for doc, text in zip(batch.column(id_col).to_pylist(), texts, strict=True):
-                for row in packer.add(doc, b"".join(map(words.__getitem__, text)) + end):
+            for doc, text in zip(batch.column(id_col).to_pylist(), batch.column(text_col).to_pylist(), strict=True):
+                for row in packer.add(doc, words(text) + end):
                     rows.append(row)
                     held += len(row[3])
                 if held > 8 << 20:
