@@ -7,9 +7,10 @@ once more with the fraction as inclusion probability. The inclusions are
 balanced on two totals, tokens (words) and documents: the flight moves the
 vector of probabilities along the null space of both constraints, until each
 block of documents has at most two undecided ones. Those of many blocks form
-the blocks of the next flight, and so on, until each source is one block; the
-landing then rounds its last two or so documents to the nearest token total and
-makes up for the rest by a few exchanges within the block.
+the blocks of the next flight, and so on, until each source is one block. A
+first block of each source waits for that last flight. The landing then rounds
+its last two or so documents to the nearest token total and makes up for the
+rest by a few exchanges within the block.
 
 Blocks are dealt out by a hash of the document's id, about `block` documents
 each, whatever the source's size; texts are not moved. Every decision is drawn
@@ -25,7 +26,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -117,7 +118,7 @@ def land(size: np.ndarray, chance: np.ndarray, swaps: int = 4) -> np.ndarray:
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = 1024) -> DataFrame:
-    """id, source, size, source_size, target, times (how often the mix takes the document)."""
+    """id, source, size, source_size, target, times (how often the mix takes the document), text_crc32."""
     docs = cut(df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words(text_col).alias("size"), F.crc32(text_or_empty(text_col).cast("binary")).alias("crc")))
     goals = cut(targets(docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs")), weights, share, most))
     largest = goals.agg(F.max("docs")).first()[0] or 0
@@ -128,31 +129,30 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     schema = known.schema
 
     def flight(last: bool):
-        def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values(["size", "place", "crc"], ascending=[False, True, True], kind="stable", ignore_index=True)
-            size = rows["size"].to_numpy(np.float64)
-            rng = np.random.default_rng(zlib.crc32(repr([None if x is None or x != x else x for x in key]).encode()))
-            chance = fly(size, rows["chance"].to_numpy(np.float64), rng)
-            rows["chance"] = land(size, chance) if last else chance
-            return rows
+        def run(key: tuple, rows: pa.Table) -> pa.Table:
+            rows = rows.sort_by([("size", "descending"), ("place", "ascending"), ("crc", "ascending")])
+            size = rows.column("size").to_numpy().astype(np.float64)
+            rng = np.random.default_rng(zlib.crc32(repr([x.as_py() for x in key]).encode()))
+            chance = fly(size, rows.column("chance").to_numpy().astype(np.float64), rng)
+            return rows.set_column(rows.column_names.index("chance"), "chance", pa.array(land(size, chance) if last else chance))
 
         return run
 
-    open_, settled, level = known, [], 0
-    while True:
-        last = largest <= block
-        part = F.lit(0).cast("long") if last else F.pmod(F.xxhash64(F.lit(level), "place"), F.col("blocks"))
-        done = cut(open_.groupBy("source", part.alias("part"), F.lit(level).alias("level")).applyInPandas(flight(last), schema))
-        undecided = (F.col("chance") > EPS) & (F.col("chance") < 1 - EPS)
+    part = F.pmod(F.xxhash64(F.lit(0), "place"), F.col("blocks"))
+    # One block of each source waits for the last flight, so that the landing has documents of all sizes to exchange.
+    waiting = known.where(part == 0)
+    open_, settled, level = known.where(part != 0), [], 0
+    undecided = (F.col("chance") > EPS) & (F.col("chance") < 1 - EPS)
+    left = largest
+    while left > block:
+        done = cut(open_.groupBy("source", part.alias("part"), F.lit(level).alias("level")).applyInArrow(flight(False), schema))
         settled.append(done.where(~undecided))
-        if last:
-            break
-        level += 1
-        # a block leaves two or so: the next level's sizes follow from this one's
-        blocks = -(-largest // block)
-        largest = 3 * blocks
+        # A block leaves two or so: the next level's blocks follow from this one's.
+        left, level = 3 * -(-left // block), level + 1
         open_ = done.where(undecided).withColumn("blocks", F.ceil(3 * F.col("blocks") / block))
+        part = F.pmod(F.xxhash64(F.lit(level), "place"), F.col("blocks"))
+    settled.append(cut(open_.union(waiting).groupBy("source").applyInArrow(flight(True), schema)))
     out = settled[0]
     for more in settled[1:]:
         out = out.union(more)
-    return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", (F.col("sure") + F.round("chance").cast("long")).alias("times"))
+    return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", (F.col("sure") + F.round("chance").cast("long")).alias("times"), F.col("crc").alias("text_crc32"))
