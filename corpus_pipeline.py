@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewarden.llm import exact, langid, minhash, mixing, packing
@@ -35,9 +36,10 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the smallest id stays, once."""
-    found = exact.exact_duplicates(docs)
-    stay = _only(docs, found.where("kept"))
-    return stay.dropDuplicates(["doc_id", "text"])
+    stay = exact.exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sum"))
+    docs = docs.select(*COLUMNS).withColumn("_sha", F.sha2(exact.normalised("text").cast("binary"), 256))
+    kept = docs.join(stay, (F.col("_sha") == F.col("_sum")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_sha"]).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,11 +49,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or left out as the mix takes them."""
-    found = mixing.mix(docs).where("times > 0").select(F.col("doc_id").alias("_id"), "times")
-    docs = docs.select(*COLUMNS)
-    taken = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return taken.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*COLUMNS)
+    """Documents are repeated or left out as the mix takes them.
+
+    Rows that share id and text are taken together: the first stands for all.
+    """
+    found = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_sum")).agg(F.sum("times").alias("_times")).where("_times > 0")
+    docs = docs.select(*COLUMNS).withColumn("_crc", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
+    taken = docs.join(found, (F.col("_crc") == F.col("_sum")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    first = F.row_number().over(W.partitionBy("doc_id", "_crc").orderBy(F.lit(1))) == 1
+    return taken.withColumn("_first", first).where("_first").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
