@@ -8,6 +8,7 @@ systems, so a table can lie wherever Spark reads.
 from __future__ import annotations
 
 import contextlib
+import os
 import time
 import uuid
 from collections.abc import Callable, Iterator
@@ -53,24 +54,36 @@ class Table:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(now)
 
+    def _create_lock(self) -> bool:
+        """Whether the lock file was made by this call; Hadoop's local file system cannot tell, the operating system can."""
+        if self._fs.getUri().getScheme() == "file":
+            folder = self._path(self.path).toUri().getPath()
+            os.makedirs(folder, exist_ok=True)
+            try:
+                os.close(os.open(f"{folder}/_lock", os.O_CREAT | os.O_EXCL))
+            except FileExistsError:
+                return False
+            return True
+        try:
+            self._fs.create(self._at("_lock"), False).close()
+        except Exception as e:  # the file is there
+            if "AlreadyExists" not in str(e) and "already exists" not in str(e):
+                raise
+            return False
+        return True
+
     @contextlib.contextmanager
-    def lock(self, wait: float = 30.0) -> Iterator[None]:
+    def lock(self, wait: float = 60.0) -> Iterator[None]:
         """Held by one writer; others wait."""
-        end, mine = time.monotonic() + wait, self._at("_lock")
-        while True:
-            try:
-                self._fs.create(mine, False).close()
-                break
-            except Exception as e:  # the file is there
-                if "FileAlreadyExists" not in str(e) and "already exists" not in str(e):
-                    raise
-                if time.monotonic() > end:
-                    raise TimeoutError(f"{self.path} is locked") from e
-                time.sleep(0.05)
+        end = time.monotonic() + wait
+        while not self._create_lock():
+            if time.monotonic() > end:
+                raise TimeoutError(f"{self.path} is locked")
+            time.sleep(0.05)
         try:
             yield
         finally:
-            self._fs.delete(mine, False)
+            self._fs.delete(self._at("_lock"), False)
 
     def write(self, df: DataFrame) -> None:
         """Replace the table; the folder before the last is removed."""
