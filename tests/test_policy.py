@@ -82,3 +82,26 @@ def test_collisions_and_gate(spark):
     refused = decide(df, strict, base).orderBy("seq").collect()[5]
     assert refused.action == "refuse" and json.loads(refused.reply)["error"]["code"] == -32001 and json.loads(refused.reply)["id"] == "a"
     assert actions(decide(df, Policy(tools_list_drift_detection="block"), base))[5] == "forward"
+
+
+def test_drift_is_enforced(spark):
+    from tests.test_manifests import listed, tools
+    from tidewarden.sources.store import BASELINES
+
+    note = '{"method":"notifications/tools/list_changed"}'
+    df = lines(spark, ("outbound", "p", listed(tools("a"))), ("outbound", "p", listed(tools("a", "b"))), ("outbound", "p", note), ("inbound", "p", listed(tools("z"))), ("outbound", "p", '{"result":{"tools":[{}]}}'), ("outbound", "p", listed(tools("a")))).selectExpr("*", "concat('t', seq) AS ts_iso")
+    none = spark.createDataFrame([], BASELINES)
+    out, after = policy.enforce(df, Policy(tools_list_drift_detection="block", inject_fingerprint_meta=True), none)
+    rows = out.orderBy("seq").collect()
+    assert [r.drift for r in rows] == ["unknown", "drift", None, None, "error", "match"]
+    assert [r.action for r in rows] == ["forward", "replace", "forward", "forward", "forward", "forward"]
+    assert rows[2].kind == "tools_changed"
+    error = json.loads(rows[1].reply)["error"]
+    assert error["code"] == -32001 and error["data"]["drift"]["added"] == ["b"] and error["data"]["program"] == "p"
+    meta = json.loads(rows[0].stamped)["result"]["_meta"]["tidewarden/fingerprint"]
+    assert meta["hash_backend"] == "blake3" and meta["baseline_iso"] == "t0" and rows[1].stamped is None
+    assert after.first().last_seen_iso == "t5"
+    out, _ = policy.enforce(df, Policy(), none)
+    assert {r.action for r in out.collect()} == {"forward"}
+    out, same = policy.enforce(df, Policy(tools_list_drift_detection="off", inject_fingerprint_meta=True), none)
+    assert {r.drift for r in out.collect()} == {None} and same.count() == 0

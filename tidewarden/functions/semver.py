@@ -85,7 +85,7 @@ def _holds(version: Column, part: Comparator) -> Column:
 
 
 def covers(version: Column, parts: list[Comparator]) -> Column:
-    """Whether the requirement holds for a parsed version. A pre-release needs a part that names one of the same release."""
+    """Whether the requirement holds for a parsed version, null for none. A pre-release needs a part that names one of the same release."""
     holds = reduce(and_, [_holds(version, p) for p in parts], F.lit(True))
     named = [(version["major"] == p[1]) & (version["minor"] == (p[2] or 0)) & (version["patch"] == (p[3] or 0)) for p in parts if p[4]]
-    return holds & ((version["pre"] == "") | reduce(lambda a, b: a | b, named, F.lit(False)))
+    return F.when(version.isNotNull(), holds & ((version["pre"] == "") | reduce(lambda a, b: a | b, named, F.lit(False))))

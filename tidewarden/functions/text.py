@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -17,6 +18,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
 
 
+def python_regex(source: str) -> str:
+    """A pattern of the rules as Python writes it."""
+    return re.sub(r"\\x\{([0-9A-Fa-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", source).replace(r"\z", r"\Z")
+
+
 def strip_escapes(text: Column) -> Column:
     return F.regexp_replace(text, rules.ESCAPES, "")
 
@@ -37,21 +43,13 @@ def skeleton(text: Column) -> Column:
     return F.translate(text, *rules.lookalikes())
 
 
-#: Any other character may change in normalising; ASCII but for ESC, and Latin-1 letters, do not.
+#: Any other character may change in normalising or be a look-alike; ASCII but for ESC, and Latin-1 letters, are not.
 MAY_CHANGE = r"[^\x00-\x1A\x1C-\x7F\xC0-\xFF]"
-#: All look-alikes lie behind Latin-1.
-MAY_LOOK_ALIKE = r"[^\x00-\xFF]"
-
-
 def may_change(text: Column) -> Column:
     """Cheap tests first: ASCII texts are told by their length in bytes."""
     return F.contains(text, F.lit("\x1b")) | ((F.octet_length(text) > F.length(text)) & text.rlike(MAY_CHANGE))
 
 
-def may_look_alike(text: Column) -> Column:
-    return (F.octet_length(text) > F.length(text)) & text.rlike(MAY_LOOK_ALIKE)
-
-
 def normalised(text: Column) -> Column:
     """Escapes and invisible characters out, then NFKC; null where the text has nothing to change."""
     return nfkc(F.when(may_change(text), strip_invisible(strip_escapes(text))))

@@ -219,3 +219,15 @@ def stamp(raw: str, baseline: dict[str, Any], key: str, version: str) -> str:
     return jsons.compact(message)
 
 
+
+
+def stamped(raw: Column, baseline: Column, key: str, version: str) -> Column:
+    """stamp() of a column of lists, each with the struct of its baseline; null stays null."""
+
+    def run(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.Series]:
+        for raws, bases in batches:
+            rows = bases.to_dict("records")
+            yield pd.Series([None if r is None else stamp(r, b, key, version) for r, b in zip(raws, rows, strict=True)], dtype=object)
+
+    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.DataFrame]], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "string")(raw, baseline)

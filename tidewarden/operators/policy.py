@@ -14,9 +14,10 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewarden import __version__
 from tidewarden.functions import rules, text
 from tidewarden.functions.messages import message
-from tidewarden.operators import identity
+from tidewarden.operators import identity, manifest
 from tidewarden.operators.scan import scan
 
 FAIL_MODES, DRIFT_MODES, HASH_BACKENDS = ("open", "closed"), ("off", "warn", "block"), ("blake3", "sha256")
@@ -186,3 +187,34 @@ def decide(lines: DataFrame, policy: Policy, baselines: DataFrame | None = None)
     out = df.withColumns({"reply": reply, "recorded": recorded})
     made = ["tool", "kind", "verdict", "matched_patterns", "cve_refs", "collision", "recorded", "action", "reply"]
     return out.select(*[c for c in columns if c not in made], *made)
+
+
+def enforce(lines: DataFrame, policy: Policy, baselines: DataFrame, order: str = "seq", iso: str = "ts_iso") -> tuple[DataFrame, DataFrame]:
+    """(decisions, baselines after): decide(), and the drift check on outbound tool lists.
+
+    Adds drift (unknown, match, drift, error; null for other messages). A drifted
+    list is replaced by an error reply where the policy says block; where it asks
+    for it, lists that are accepted carry their baseline's fingerprint in `stamped`.
+    Trusted servers' lists are checked as well. What cannot be read passes.
+    """
+    decided = decide(lines, policy, baselines).drop("drift", "stamped")
+    if policy.tools_list_drift_detection == "off":
+        return decided.withColumns({"drift": F.lit(None).cast("string"), "stamped": F.lit(None).cast("string")}), baselines
+    lists = decided.where((F.col("direction") == "outbound") & (F.col("kind") == "tools_list_response"))
+    found, after = manifest.observe(lists, baselines, order, iso, policy.tools_list_hash_backend, policy.tools_list_jcs_canonicalize)
+    found = found.select(F.col("program").alias("_p"), F.col(order).alias("_o"), F.col("kind").alias("drift"), "detail")
+    df = decided.join(found, (F.col("program") == F.col("_p")) & (F.col(order) == F.col("_o")), "left")
+    replaced = (F.col("drift") == "drift") & F.lit(policy.tools_list_drift_detection == "block")
+    # Only lists that are replaced are parsed for their id once more.
+    ident = message(F.when(replaced, F.col("raw")))["id"]
+    df = df.withColumns({
+        "action": F.when(replaced, "replace").otherwise(F.col("action")),
+        "reply": F.when(replaced, drift_reply(ident, F.col("program"), F.col("detail"))).otherwise(F.col("reply")),
+    })
+    if policy.inject_fingerprint_meta:
+        base = after.select(F.col("program").alias("_b"), F.struct(*manifest.FINGERPRINT[:-1], "baseline_iso").alias("_base"))
+        accepted = F.col("drift").isin("unknown", "match")
+        df = df.join(base, F.col("program") == F.col("_b"), "left").withColumn("stamped", manifest.stamped(F.when(accepted, F.col("raw")), F.col("_base"), f"{NAME}/fingerprint", __version__))
+    else:
+        df = df.withColumn("stamped", F.lit(None).cast("string"))
+    return df.select(*decided.columns, "drift", "stamped"), after

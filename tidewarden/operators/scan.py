@@ -2,37 +2,66 @@
 
 A text is matched in up to three forms: raw; normalised, where that changes it;
 with look-alikes resolved, where that changes it. In each form the patterns
-count only if some needle occurs in that form. The needle test is a chain of
-byte searches on the lower-cased text and stays in generated code; normalising
-crosses to Python for those texts only that hold a character it can change.
+count only if some needle occurs in that form.
+
+One Arrow pass finds the forms and tests them for needles with linear-time
+regular expressions over whole columns; of texts that hold no character which
+normalising can change, nothing but a flag comes back. The patterns themselves
+are evaluated in the JVM, for the few texts with a needle.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from functools import reduce
 from operator import or_
 from typing import Any
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewarden.functions import rules, text
 
 _NONE = "array<string>"
-
-
-def lowered(form: Column) -> Column:
-    """Lower case in which no other character becomes an ASCII letter of a needle.
-
-    lower() maps the Kelvin sign to k; a dotted capital I becomes i and a
-    combining dot, which no needle has behind an i.
-    """
-    return F.lower(F.replace(form, F.lit("K"), F.lit("�")))
-
-
-def has_needle(low: Column, feed: list[dict[str, Any]] | None = None) -> Column:
-    """Whether any needle occurs; low is a lower-cased text."""
-    return reduce(or_, [F.contains(low, F.lit(n)) for n in rules.needles(feed)])
+FORMS = T.StructType([
+    T.StructField("raw_needle", T.BooleanType()),
+    T.StructField("norm", T.StringType()),  # null where it is the raw text
+    T.StructField("norm_needle", T.BooleanType()),
+    T.StructField("skel", T.StringType()),  # null where it is the form before
+    T.StructField("skel_needle", T.BooleanType()),
+])
+
+
+def forms(payload: Column, unicode: bool = True, confusable: bool = True, feed: list[dict[str, Any]] | None = None) -> Column:
+    """The struct FORMS of a text column without nulls."""
+    needles = "|".join(re.escape(n) for n in rules.needles(feed))
+    escapes, hidden = re.compile(text.python_regex(rules.ESCAPES)), re.compile(text.python_regex(rules.INVISIBLE))
+    letters = str.maketrans(*rules.lookalikes())
+
+    def has_needle(form: pa.Array) -> pa.Array:
+        # ASCII case only: characters that fold to ASCII letters elsewhere are none here
+        return pc.fill_null(pc.match_substring_regex(pc.ascii_lower(form), needles), False)
+
+    def run(raw: pa.Array) -> pa.Array:
+        norm: list[str | None] = [None] * len(raw)
+        skel: list[str | None] = [None] * len(raw)
+        if unicode or confusable:
+            odd = pc.indices_nonzero(pc.fill_null(pc.match_substring_regex(raw, text.MAY_CHANGE), False))
+            for i, data in zip(odd.to_pylist(), raw.take(odd).cast(pa.binary()).to_pylist(), strict=True):
+                now = data.decode("utf-8", "replace")
+                if unicode and (plain := unicodedata.normalize("NFKC", hidden.sub("", escapes.sub("", now)))) != now:
+                    norm[i] = now = plain
+                if confusable and (plain := now.translate(letters)) != now:
+                    skel[i] = plain
+        made = [pa.array(f, pa.string()) for f in (norm, skel)]
+        return pa.StructArray.from_arrays([has_needle(raw), made[0], has_needle(made[0]), made[1], has_needle(made[1])], FORMS.names)
+
+    run.__annotations__ = {"raw": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, FORMS)(payload)
 
 
 def pattern_hits(form: Column, feed: list[dict[str, Any]] | None = None) -> Column:
@@ -44,14 +73,6 @@ def pattern_hits(form: Column, feed: list[dict[str, Any]] | None = None) -> Colu
     return F.array_except(F.array(*each), F.array(F.lit(None).cast("string")))
 
 
-def _stage(df: DataFrame, form: str, hits: str, feed: list[dict[str, Any]] | None) -> DataFrame:
-    """Adds the hits of one form; columns are made in steps so that each is evaluated once."""
-    df = df.withColumn("_low", lowered(F.col(form)))
-    df = df.withColumn("_needle", F.coalesce(has_needle(F.col("_low"), feed), F.lit(False))).drop("_low")
-    df = df.withColumn(hits, F.when(F.col("_needle"), pattern_hits(F.col(form), feed)).otherwise(F.array().cast(_NONE)))
-    return df.drop("_needle")
-
-
 def advisories(hits: Column, feed: list[dict[str, Any]] | None = None) -> Column:
     """Distinct advisory ids of the hits, in the hits' order, then the feed's."""
     pairs = [x for p, ids in rules.advisories_of(feed).items() for x in (F.lit(p), F.array(*map(F.lit, ids)))]
@@ -62,24 +83,17 @@ def advisories(hits: Column, feed: list[dict[str, Any]] | None = None) -> Column
 def scan(df: DataFrame, column: str = "text", unicode: bool = True, confusable: bool = True, feed: list[dict[str, Any]] | None = None) -> DataFrame:
     """df with verdict, matched_patterns and cve_refs. A null payload counts as empty."""
     df = df.drop("verdict", "matched_patterns", "cve_refs").withColumn("_raw", F.coalesce(F.col(column), F.lit("")))
-    found = ["_hits_raw"]
-    df = _stage(df, "_raw", "_hits_raw", feed)
-    if unicode:
-        df = df.withColumn("_norm", text.normalised(F.col("_raw")))
-        df = df.withColumn("_norm", F.when(F.col("_norm") != F.col("_raw"), F.col("_norm")))
-        df = _stage(df, "_norm", "_hits_norm", feed)
-        found.append("_hits_norm")
-    if confusable:
-        base = F.coalesce("_norm", "_raw") if unicode else F.col("_raw")
-        df = df.withColumn("_base", base)
-        skel = F.when(text.may_look_alike(F.col("_base")), text.skeleton(F.col("_base")))
-        df = df.withColumn("_skel", skel).withColumn("_skel", F.when(F.col("_skel") != F.col("_base"), F.col("_skel"))).drop("_base")
-        df = _stage(df, "_skel", "_hits_skel", feed)
-        found.append("_hits_skel")
+    df = df.withColumn("_forms", forms(F.col("_raw"), unicode, confusable, feed))
+    found = []
+    for name, form, wanted in (("raw", "_raw", True), ("norm", "_forms.norm", unicode), ("skel", "_forms.skel", confusable)):
+        if wanted:
+            hits = F.when(F.col(f"_forms.{name}_needle"), pattern_hits(F.col(form), feed)).otherwise(F.array().cast(_NONE))
+            df = df.withColumn(f"_hits_{name}", hits)
+            found.append(f"_hits_{name}")
     df = df.withColumn("matched_patterns", F.array_distinct(F.concat(*found)) if len(found) > 1 else F.col(found[0]))
     df = df.withColumn("cve_refs", advisories(F.col("matched_patterns"), feed))
     df = df.withColumn("verdict", F.when(F.size("matched_patterns") > 0, F.lit("block")).otherwise(F.lit("allow")))
-    return df.drop("_raw", "_norm", "_skel", *found)
+    return df.drop("_raw", "_forms", *found)
 
 
 def pattern_counts(scanned: DataFrame) -> DataFrame:

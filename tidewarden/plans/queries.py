@@ -13,11 +13,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewarden.functions import crypto, jsons, rules, text
+from tidewarden.functions import crypto, jsons, rules, semver, text
 from tidewarden.operators import audit, feed, identity, manifest, policy, trust
 from tidewarden.operators.scan import pattern_counts, scan
 from tidewarden.plans import sql
 from tidewarden.sources import lines
+from tidewarden.sources.store import BASELINES
 from tidewarden.streaming import drift, messages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -360,6 +361,28 @@ def drift_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return after.select("program", "baseline_iso", "last_seen_iso", "tools_count")
 
 
+@query(f"SELECT program, seq, kind AS drift, CASE WHEN kind = 'drift' THEN 'replace' ELSE 'forward' END AS action, kind IN ('unknown', 'match') AS stamped FROM ({_DRIFT}) WHERE kind <> 'error' UNION ALL SELECT program, seq, NULL, 'forward', false FROM ({_DRIFT}) WHERE kind = 'error'")
+def drift_enforce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outbound tool lists under a policy that blocks drift and stamps what it accepts."""
+    strict = policy.Policy(tools_list_drift_detection="block", tools_list_hash_backend="sha256", inject_fingerprint_meta=True)
+    rows = snapshots(spark, sf_dir).withColumn("direction", F.lit("outbound"))
+    out, _ = policy.enforce(rows, strict, spark.createDataFrame([], BASELINES))
+    return out.select("program", "seq", "drift", "action", F.coalesce(F.contains("stamped", F.lit("tidewarden/fingerprint")), F.lit(False)).alias("stamped"))
+
+
+@query(f"""
+WITH b AS (SELECT s_suppkey, '2024-01-0' || (1 + max(CASE WHEN c = 0 THEN turn ELSE 0 END)) || 'T00:00:00Z' AS seen FROM ({_SNAPS}) GROUP BY s_suppkey),
+m AS (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN '2025-01-01T00:00:00Z' ELSE seen END AS seen, CASE WHEN s_suppkey % 3 = 0 THEN 1 ELSE 2 END AS tools_count FROM b)
+SELECT '/srv/' || s_suppkey AS program, seen AS last_seen_iso, tools_count FROM m WHERE s_suppkey <> 7 AND seen >= '2024-01-02T00:00:00Z'""")
+def baseline_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Baselines after a third of them were trusted anew, one forgotten, old ones pruned, and the table merged with an older copy of a part."""
+    _, pins = manifest.observe(snapshots(spark, sf_dir), backend="sha256")
+    again = table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select(F.concat(F.lit("/srv/"), F.col("s_suppkey").cast("string")).alias("program"), tool_list(F.array(tool_json(F.lit("only"), F.lit("new"), F.array(F.lit("q"))))).alias("raw"))
+    new = manifest.re_baseline(pins, again, "2025-01-01T00:00:00Z", "sha256")
+    merged = manifest.merge(new.where("tools_count = 1"), new)
+    return manifest.prune(manifest.forget(merged, "/srv/7"), "2024-01-02T00:00:00Z").select("program", "last_seen_iso", "tools_count")
+
+
 # ----------------------------------------------------------------------- identity
 
 
@@ -460,3 +483,52 @@ def line_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.decide(lines.read_lines(spark, root, "inbound", "/usr/bin/src1"), POLICY).groupBy("action").agg(F.count(F.lit(1)).alias("messages"))
 
 
+
+
+# ------------------------------------------------------------------ scalar functions
+
+
+@query("SELECT o_orderkey, strftime(make_timestamp((o_orderkey * 86399 - 1000000) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS iso FROM orders")
+def utc_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.utc_text(F.col("o_orderkey") * 86399 - 1000000).alias("iso"))
+
+
+@query("SELECT c_custkey, lower(hex(from_base64(b))) AS bytes, substr(lower(hex(from_base64(b))), 1, 8) AS short FROM (SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN to_base64(encode(c_name)) END AS b FROM customer)")
+def base64_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strict base64: every fifth text has a character too many and is none."""
+    coded = F.concat(text.to_base64(F.col("c_name").cast("binary")), F.when(F.col("c_custkey") % 5 == 0, "!").otherwise(""))
+    data = text.base64_bytes(coded)
+    return table(spark, sf_dir, "customer").select("c_custkey", F.lower(F.hex(data)).alias("bytes"), text.hex_short(data, 4).alias("short"))
+
+
+@query(f"""
+WITH s AS ({_SERVERS}), v AS (SELECT p_partkey, regexp_extract(server_version, '^v?([0-9]+)[.]([0-9]+)[.]([0-9]+)$', ['a', 'b', 'c']) AS x FROM s),
+w AS (SELECT p_partkey, CASE WHEN coalesce(x.a, '') <> '' THEN [TRY_CAST(x.a AS INT), TRY_CAST(x.b AS INT), TRY_CAST(x.c AS INT)] END AS ver FROM v)
+SELECT p_partkey, ver >= [1, 2, 0] AND ver < [2, 0, 0] AS caret, ver >= [1, 4, 2] AND ver < [1, 5, 0] AS tilde, ver > [0, 3, 3] AND ver <= [2, 1, 5] AS span, ver[1] = 1 AS wild FROM w""")
+def version_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = semver.parsed(F.col("server_version"))
+    ranges = {"caret": "^1.2.0", "tilde": "~1.4.2", "span": ">0.3.3, <=2.1.5", "wild": "1.*"}
+    return servers(spark, sf_dir).select("p_partkey", *[semver.covers(known, semver.requirement(r)).alias(n) for n, r in ranges.items()])
+
+
+@query(f"SELECT p_partkey, lower({sql.skeleton(sql.half_width('trim(n)'))}) AS fold FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN translate(p_name, {sql.quoted(sql.HALF)}, {sql.quoted(sql.FULL)}) WHEN 1 THEN '  ' || translate(p_name, '{CYRILLIC[0]}', '{CYRILLIC[1]}') ELSE upper(p_name) END AS n FROM part)")
+def fold_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey") % 3
+    n = F.when(k == 0, F.translate("p_name", sql.HALF, sql.FULL)).when(k == 1, F.concat(F.lit("  "), F.translate("p_name", *CYRILLIC))).otherwise(F.upper("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.fold_identifier(n).alias("fold"))
+
+
+@query("SELECT conv_id, turn, split_part(rtrim(p, '/'), '/', -1) AS base, split_part(rtrim(p, '/'), '/', -1) IN ('user', 'tool3') OR p IN ('user', 'tool3') AS trusted FROM (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '/usr/bin/' || role WHEN 1 THEN role ELSE 'opt/tool' || (conv_id % 5) || '/' END AS p FROM conversations)")
+def trusted_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("turn") % 3
+    p = F.when(t == 0, F.concat(F.lit("/usr/bin/"), "role")).when(t == 1, F.col("role")).otherwise(F.concat(F.lit("opt/tool"), (F.col("conv_id") % 5).cast("string"), F.lit("/")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.basename(p).alias("base"), policy.Policy(allow_servers=("user", "tool3")).trusts(p).alias("trusted"))
+
+
+@query("SELECT n_nationkey, sha256('{\"a\":' || n_regionkey || ',\"b\":\"' || n_name || '\"}') AS artifact_sha256, CASE WHEN n_nationkey % 2 = 0 THEN 'uuid' || n_nationkey END AS uuid FROM nation")
+def log_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifests looked up by the hash of their canonical JSON in a transparency log table."""
+    raw = F.concat(F.lit('{ "b" : "'), "n_name", F.lit('", "a": '), F.col("n_regionkey").cast("string"), F.lit("}"))
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", raw.alias("raw"))
+    entries = trust.artifact_hash(rows.where("n_nationkey % 2 = 0")).select("artifact_sha256", F.concat(F.lit("uuid"), F.col("n_nationkey").cast("string")).alias("uuid"))
+    return trust.log_lookup(rows, entries).select("n_nationkey", "artifact_sha256", "uuid")
