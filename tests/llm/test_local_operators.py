@@ -205,6 +205,22 @@ def test_extract_blocks():
     assert extract.extract(None) == extract.extract("") == extract.extract("<br><!-- -->") == ""
 
 
+def test_layouts_around_an_article_are_no_marks():
+    page = """<form id="f"><div class="with-sidebar nav"><article class="post"><header class="x"><h1>Head</h1></header><div class="article-header"><h2>Sub</h2></div>
+      <p>Text</p><div class="sidebar"><p>s</p></div></article><section class="reader-comments"><article><p>me too</p></article></section></div></form>"""
+    assert extract.extract(page) == "Head\n\nSub\n\nText"
+
+
+@pytest.mark.parametrize("bad", ["<a " * 20_000, '<a "' * 20_000, "<script>" * 10_000, "<title>" * 10_000, "<p" * 20_000, "<!--" * 20_000, "<div>" * 10_000, "&" * 50_000])
+def test_broken_pages_take_linear_time(bad):
+    import time
+
+    start = time.perf_counter()
+    extract.extract(bad)
+    warc.derivatives(warc.respond("http://h/", bad, "d"))
+    assert time.perf_counter() - start < 5
+
+
 def test_simple_tree_matching_by_brute_force():
     a, b = extract.parse("<div><p>x</p><ul><li>1</li><li>2</li></ul><p>y</p></div>"), extract.parse("<div><ul><li>1</li></ul><p>y</p><p>z</p></div>")
 

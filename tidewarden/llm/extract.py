@@ -45,11 +45,15 @@ SKIP = frozenset("aside button datalist dialog fieldset footer form head iframe
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Words of class and id names that mark a part which is not the article.
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus dropdown footer form gdpr header masthead menu menus modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup promo promos promotion reader recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored sponsors subscribe subscription tags toolbar topbar widget widgets alert".split())
+#: Those of them that also name layouts: around an article they do not count.
+REMARKS = frozenset("comment comments disqus related recommended replies reply respond".split())
 #: A start tag that ends an open one: tag -> (what it closes, what stops the search).
 PARAGRAPH_END = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
+#: What is nested deeper lies flat, as in browsers.
+DEEPEST = 512
 SCOPE = frozenset("table td th caption button object template html".split())
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']|"[^"]*"|'[^']*')*+)>""", re.S)
 _NAMED = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
@@ -95,7 +99,7 @@ def parse(page: str) -> Node:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             node.items.append(page[at : end.start() if end else len(page)])
             at = i = end.end() if end else len(page)
-        elif tag not in VOID and not found[3].endswith("/"):
+        elif tag not in VOID and not found[3].endswith("/") and len(stack) < DEEPEST:
             stack.append(node)
     if at < len(page):
         stack[-1].items.append(page[at:])
@@ -115,17 +119,31 @@ def names(node: Node) -> dict[str, str]:
     return {m[1].lower(): (m[2] or "").strip("\"'").lower() for m in _NAMED.finditer(node.attrs)} if node.attrs else {}
 
 
+def holds(node: Node, *tags: str) -> bool:
+    return any(x.tag in tags for x in walk(node) if x is not node)
+
+
 def left_out(node: Node, inside: bool) -> bool:
-    """Whether the part is no article text by its tag, role or names. inside: it lies within an article."""
+    """Whether the part is no article text by its tag, role or names. inside: it lies within an article.
+
+    A header within an article that holds its heading belongs to it. Forms and
+    names that may mean a layout do not count around an article.
+    """
     tag = node.tag
-    if tag in SKIP or (tag == "header" and not (inside and any(x.tag in ("h1", "h2") for x in walk(node)))):
+    if tag in SKIP:
+        return not (tag == "form" and holds(node, "article", "main"))
+    headed = inside and holds(node, "h1", "h2")
+    if tag == "header" and not headed:
         return True
     if not node.attrs or tag in ("html", "body", "article", "main") and "comment" not in node.attrs:
         return False
     own = names(node)
     if "hidden" in own or own.get("role") in ROLES:
         return True
-    return any(w in MARKS for k in ("class", "id") for w in _SPLIT.split(own.get(k, "")))
+    words = {w for k in ("class", "id") for w in _SPLIT.split(own.get(k, ""))} & MARKS
+    if headed:
+        words -= {"header", "masthead"}
+    return bool(words) and (bool(words & REMARKS) or not holds(node, "article", "main"))
 
 
 def walk(node: Node) -> Iterator[Node]:

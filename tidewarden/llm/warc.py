@@ -33,11 +33,11 @@ from pyspark.sql import DataFrame
 from tidewarden.llm.common import sliced
 
 END = b"\r\n"
-_RAW = re.compile(r"<!--.*?-->|<(script|style|template|noscript)\b.*?</\1\s*>|<!DOCTYPE[^>]*>|<title\b.*?</title\s*>", re.S | re.I)
-_BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.I)
-_TAG = re.compile(r"</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[!?][^>]*>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LINK = re.compile(r"<a\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*?\bhref\s*=", re.I)
+_RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|title)\b.*?(?:</\1\s*>|\Z)|<!DOCTYPE[^>]*>", re.S | re.I)
+_BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>", re.I)
+_TAG = re.compile(r"</?[a-zA-Z](?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>|<[!?][^>]*>")
+_TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.S | re.I)
+_LINK = re.compile(r"<a\s(?:[^<>\"']|\"[^\"]*\"|'[^']*')*?\bhref\s*=", re.I)
 _CHARSET = re.compile(rb"charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", re.I)
 
 
