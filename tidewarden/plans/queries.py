@@ -464,7 +464,7 @@ def trust_first_use(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("seq", F.coalesce("valid", F.lit(False)).alias("valid"), "pin_outcome")
 
 
-@query("""SELECT n_nationkey, CASE n_nationkey % 5 WHEN 4 THEN false ELSE true END AS bundle_parsed, CASE n_nationkey % 5 WHEN 4 THEN NULL WHEN 1 THEN true ELSE false END AS shape_only_ok,
+@query("""SELECT n_nationkey, CASE n_nationkey % 5 WHEN 4 THEN false ELSE true END AS bundle_parsed, n_nationkey % 5 = 1 AS shape_only_ok,
   CASE WHEN n_nationkey % 5 IN (1, 2) THEN CAST(n_nationkey AS VARCHAR) END AS log_index FROM nation""")
 def check_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("n_nationkey")
@@ -472,7 +472,7 @@ def check_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rekor = F.concat(F.lit(',"rekorBundle":{"SignedEntryTimestamp":"'), stamp, F.lit('","Payload":{"logIndex":'), k.cast("string"), F.lit("}}"))
     raw = F.concat(F.lit('{"base64Signature":"'), F.when(k % 5 == 4, "  ").otherwise("c2ln"), F.lit('"'), F.when(k % 5 < 3, F.when(k % 5 == 0, ',"cert":null').otherwise(rekor)).otherwise(""), F.lit("}"))
     done = trust.check_bundles(table(spark, sf_dir, "nation").select("n_nationkey", raw.alias("raw")))
-    return done.select("n_nationkey", "bundle_parsed", "shape_only_ok", F.col("log_index").cast("string").alias("log_index"))
+    return done.select("n_nationkey", "bundle_parsed", F.coalesce("shape_only_ok", F.lit(False)).alias("shape_only_ok"), F.col("log_index").cast("string").alias("log_index"))
 
 
 @query()
@@ -504,11 +504,11 @@ def base64_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH s AS ({_SERVERS}), v AS (SELECT p_partkey, regexp_extract(server_version, '^v?([0-9]+)[.]([0-9]+)[.]([0-9]+)$', ['a', 'b', 'c']) AS x FROM s),
 w AS (SELECT p_partkey, CASE WHEN coalesce(x.a, '') <> '' THEN [TRY_CAST(x.a AS INT), TRY_CAST(x.b AS INT), TRY_CAST(x.c AS INT)] END AS ver FROM v)
-SELECT p_partkey, ver >= [1, 2, 0] AND ver < [2, 0, 0] AS caret, ver >= [1, 4, 2] AND ver < [1, 5, 0] AS tilde, ver > [0, 3, 3] AND ver <= [2, 1, 5] AS span, ver[1] = 1 AS wild FROM w""")
+SELECT p_partkey, coalesce(ver >= [1, 2, 0] AND ver < [2, 0, 0], false) AS caret, coalesce(ver >= [1, 4, 2] AND ver < [1, 5, 0], false) AS tilde, coalesce(ver > [0, 3, 3] AND ver <= [2, 1, 5], false) AS span, coalesce(ver[1] = 1, false) AS wild FROM w""")
 def version_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = semver.parsed(F.col("server_version"))
     ranges = {"caret": "^1.2.0", "tilde": "~1.4.2", "span": ">0.3.3, <=2.1.5", "wild": "1.*"}
-    return servers(spark, sf_dir).select("p_partkey", *[semver.covers(known, semver.requirement(r)).alias(n) for n, r in ranges.items()])
+    return servers(spark, sf_dir).select("p_partkey", *[F.coalesce(semver.covers(known, semver.requirement(r)), F.lit(False)).alias(n) for n, r in ranges.items()])
 
 
 @query(f"SELECT p_partkey, lower({sql.skeleton(sql.half_width('trim(n)'))}) AS fold FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN translate(p_name, {sql.quoted(sql.HALF)}, {sql.quoted(sql.FULL)}) WHEN 1 THEN '  ' || translate(p_name, '{CYRILLIC[0]}', '{CYRILLIC[1]}') ELSE upper(p_name) END AS n FROM part)")
