@@ -306,6 +306,12 @@ def test_few_rows_move_when_a_shard_is_added(spark):
 # ----------------------------------------------------------------------- pipeline
 
 
+def back(spark, rows: pd.DataFrame, schema):
+    """Rows of a stage as Spark has them: nulls, and ids that are whole numbers."""
+    made = [tuple(None if pd.isna(v) else int(v) if c in ("doc_id", "n_chars") else v for c, v in zip(rows.columns, r, strict=True)) for r in rows.itertuples(index=False)]
+    return spark.createDataFrame(made, schema)
+
+
 def test_stages_by_brute_force(spark, tiny):
     """Each stage against a plain version on its own input."""
     from tidewarden.llm import langid
@@ -331,13 +337,13 @@ def test_stages_by_brute_force(spark, tiny):
     assert Counter(map(norm, two.text)) == Counter(list(first))
     assert all(first[norm(r.text)] == r.doc_id or pd.isna(r.doc_id) for r in two.itertuples())
     # near dedup
-    near = corpus_pipeline.near_dedup(spark, spark.createDataFrame(two, docs.schema), tiny).toPandas()
+    near = corpus_pipeline.near_dedup(spark, back(spark, two, docs.schema), tiny).toPandas()
     known = two[two.doc_id.notna()]
     want = brute_components(sets_of(dict(zip(known.doc_id.astype(int), known.text, strict=True)), 5))
     assert sorted(near.doc_id.dropna().astype(int)) == sorted(d for d, c in want.items() if d == c)
     assert near.doc_id.isna().sum() == two.doc_id.isna().sum()
     # mixing
-    mixed = corpus_pipeline.mix(spark, spark.createDataFrame(near, docs.schema), tiny).toPandas()
+    mixed = corpus_pipeline.mix(spark, back(spark, near, docs.schema), tiny).toPandas()
     size = lambda t: len(WORDS.findall(t))
     sizes = near.groupby(near.source.fillna("~null")).text.apply(lambda x: x.map(size).sum()).to_dict()
     order = [*sorted((s for s in sizes if s != "~null"), key=lambda s: [ord(c) for c in s]), *[s for s in sizes if s == "~null"]]
