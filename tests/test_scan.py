@@ -138,6 +138,11 @@ def test_forms_are_those_of_the_column_functions(spark):
         assert norm == r.n and (norm if r.f.skel is None else r.f.skel) == r.s, repr(r.t)
 
 
+def test_classes_and_boundaries_are_those_of_unicode(spark):
+    got = hits(spark, ["sudo\u00a0rm\u2003-rf", "xsudo rm -rf", "ésudo rm -rf", "sudo rm -rfé", "-sudo rm -rf.", "$(a) ; sh\u00e9", "$( ; bash", "http://localhost:٣/ ", "curl\x0bhttp", "reveal \r secret", "REVEAL the ſECRET reveal"], unicode=False, confusable=False)
+    assert got == [["fullwidth_evasion"], [], [], [], ["fullwidth_evasion"], ["shell_substitution"], ["shell_substitution"], ["localhost_callback"], ["fullwidth_evasion"], ["tag_unicode_evasion"], ["tag_unicode_evasion"]]
+
+
 def test_identifiers(spark):
     df = spark.createDataFrame([("ѕend_mеssagе",), ("send_message​",), ("  Ｓend_ﬁle　",), ("​‮",), ("\x1cx",)], "n string")
     out = df.select(text.canonical_identifier(F.col("n")).alias("c"), text.fold_identifier(F.col("n")).alias("f")).collect()

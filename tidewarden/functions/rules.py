@@ -130,6 +130,16 @@ def needles(feed: list[dict[str, Any]] | None = None) -> list[str]:
     return sorted(n for n in every if not any(m != n and m in n for m in every))
 
 
-def java_regex(source: str) -> str:
-    """The pattern with Unicode classes and cases, and only the line feed ending a line."""
-    return "(?iUd)" + source[4:] if source.startswith("(?i)") else "(?Ud)" + source
+#: White space and word characters of Unicode, as members of a class.
+WHITE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WORDLY = r"\p{L}\p{Nl}\p{M}\p{Nd}\p{Pc}\x{200c}\x{200d}\x{24b6}-\x{24e9}\x{1f130}-\x{1f149}\x{1f150}-\x{1f169}\x{1f170}-\x{1f189}"
+
+
+def linear_regex(source: str) -> str:
+    """The pattern for an engine whose classes are ASCII: they are written out, and a word boundary at either end takes the character beyond."""
+    flag, body = ("(?i)", source[4:]) if source.startswith("(?i)") else ("", source)
+    if body.startswith(r"\b"):
+        body = rf"(?:\A|[^{WORDLY}])" + body[2:]
+    if body.endswith(r"\b"):
+        body = body[:-2] + rf"(?:\z|[^{WORDLY}])"
+    return flag + body.replace(r"[\s>]", f"[{WHITE}>]").replace(r"\s", f"[{WHITE}]").replace(r"\d", r"\p{Nd}")

@@ -4,10 +4,9 @@ A text is matched in up to three forms: raw; normalised, where that changes it;
 with look-alikes resolved, where that changes it. In each form the patterns
 count only if some needle occurs in that form.
 
-One Arrow pass finds the forms and tests them for needles with linear-time
-regular expressions over whole columns; of texts that hold no character which
-normalising can change, nothing but a flag comes back. The patterns themselves
-are evaluated in the JVM, for the few texts with a needle.
+One Arrow pass does all of it over whole columns, with linear-time regular
+expressions: needles first, then the patterns on what has a needle. Only texts
+with a character that normalising can change are looked at one by one.
 """
 
 from __future__ import annotations
@@ -15,7 +14,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import reduce
-from operator import or_
 from typing import Any
 
 import pyarrow as pa
@@ -27,50 +25,57 @@ from pyspark.sql import types as T
 from tidewarden.functions import rules, text
 
 _NONE = "array<string>"
-FORMS = T.StructType([
-    T.StructField("raw_needle", T.BooleanType()),
-    T.StructField("norm", T.StringType()),  # null where it is the raw text
-    T.StructField("norm_needle", T.BooleanType()),
-    T.StructField("skel", T.StringType()),  # null where it is the form before
-    T.StructField("skel_needle", T.BooleanType()),
-])
+FORMS = T.StructType([T.StructField("norm", T.StringType()), T.StructField("skel", T.StringType())])
+Lists = tuple[list[str | None], list[str | None]]
 
 
-def forms(payload: Column, unicode: bool = True, confusable: bool = True, feed: list[dict[str, Any]] | None = None) -> Column:
-    """The struct FORMS of a text column without nulls."""
-    needles = "|".join(re.escape(n) for n in rules.needles(feed))
+def _changed(raw: pa.Array, unicode: bool, confusable: bool) -> Lists:
+    """The normalised form, null where it is the raw text, and the look-alike form, null where it is the form before."""
+    norm: list[str | None] = [None] * len(raw)
+    skel: list[str | None] = [None] * len(raw)
     escapes, hidden = re.compile(text.python_regex(rules.ESCAPES)), re.compile(text.python_regex(rules.INVISIBLE))
     letters = str.maketrans(*rules.lookalikes())
+    if unicode or confusable:
+        odd = pc.indices_nonzero(pc.fill_null(pc.match_substring_regex(raw, text.MAY_CHANGE), False))
+        for i, data in zip(odd.to_pylist(), raw.take(odd).cast(pa.binary()).to_pylist(), strict=True):
+            now = data.decode("utf-8", "replace")
+            if unicode and (plain := unicodedata.normalize("NFKC", hidden.sub("", escapes.sub("", now)))) != now:
+                norm[i] = now = plain
+            if confusable and (plain := now.translate(letters)) != now:
+                skel[i] = plain
+    return norm, skel
+
 
-    def has_needle(form: pa.Array) -> pa.Array:
-        # ASCII case only: characters that fold to ASCII letters elsewhere are none here
-        return pc.fill_null(pc.match_substring_regex(pc.ascii_lower(form), needles), False)
+def forms(payload: Column, unicode: bool = True, confusable: bool = True) -> Column:
+    """The struct FORMS of a text column."""
 
     def run(raw: pa.Array) -> pa.Array:
-        norm: list[str | None] = [None] * len(raw)
-        skel: list[str | None] = [None] * len(raw)
-        if unicode or confusable:
-            odd = pc.indices_nonzero(pc.fill_null(pc.match_substring_regex(raw, text.MAY_CHANGE), False))
-            for i, data in zip(odd.to_pylist(), raw.take(odd).cast(pa.binary()).to_pylist(), strict=True):
-                now = data.decode("utf-8", "replace")
-                if unicode and (plain := unicodedata.normalize("NFKC", hidden.sub("", escapes.sub("", now)))) != now:
-                    norm[i] = now = plain
-                if confusable and (plain := now.translate(letters)) != now:
-                    skel[i] = plain
-        made = [pa.array(f, pa.string()) for f in (norm, skel)]
-        return pa.StructArray.from_arrays([has_needle(raw), made[0], has_needle(made[0]), made[1], has_needle(made[1])], FORMS.names)
+        return pa.StructArray.from_arrays([pa.array(f, pa.string()) for f in _changed(raw, unicode, confusable)], FORMS.names)
 
     run.__annotations__ = {"raw": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, FORMS)(payload)
 
 
-def pattern_hits(form: Column, feed: list[dict[str, Any]] | None = None) -> Column:
-    """Ids of the patterns with a matching regular expression, in evaluation order."""
-    each = []
-    for p in rules.pattern_ids(feed):
-        found = reduce(or_, [form.rlike(rules.java_regex(r)) for r in rules.PATTERNS.get(p, ())], F.lit(False))
-        each.append(F.when(found, F.lit(p)))
-    return F.array_except(F.array(*each), F.array(F.lit(None).cast("string")))
+def patterns(payload: Column, unicode: bool = True, confusable: bool = True, feed: list[dict[str, Any]] | None = None) -> Column:
+    """Ids of the patterns that match a text, as an array: those of the raw form in evaluation order, then what the other forms add."""
+    needles = "|".join(re.escape(n) for n in rules.needles(feed))
+    table = [(p, [rules.linear_regex(r) for r in rules.PATTERNS.get(p, ())]) for p in rules.pattern_ids(feed)]
+
+    def run(raw: pa.Array) -> pa.Array:
+        norm, skel = _changed(raw, unicode, confusable)
+        found: list[list[str]] = [[] for _ in range(len(raw))]
+        for form in (raw, pa.array(norm, pa.string()), pa.array(skel, pa.string())):
+            # ASCII case only: characters that fold to ASCII letters elsewhere are none here
+            held = pc.indices_nonzero(pc.fill_null(pc.match_substring_regex(pc.ascii_lower(form), needles), False))
+            rows, some = held.to_pylist(), form.take(held)
+            for pattern, sources in table if rows else ():
+                hit = reduce(pc.or_, [pc.match_substring_regex(some, r) for r in sources])
+                for k in pc.indices_nonzero(hit).to_pylist():
+                    found[rows[k]].append(pattern)
+        return pa.array([list(dict.fromkeys(f)) for f in found], pa.list_(pa.string()))
+
+    run.__annotations__ = {"raw": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, T.ArrayType(T.StringType()))(payload)
 
 
 def advisories(hits: Column, feed: list[dict[str, Any]] | None = None) -> Column:
@@ -82,18 +87,10 @@ def advisories(hits: Column, feed: list[dict[str, Any]] | None = None) -> Column
 
 def scan(df: DataFrame, column: str = "text", unicode: bool = True, confusable: bool = True, feed: list[dict[str, Any]] | None = None) -> DataFrame:
     """df with verdict, matched_patterns and cve_refs. A null payload counts as empty."""
-    df = df.drop("verdict", "matched_patterns", "cve_refs").withColumn("_raw", F.coalesce(F.col(column), F.lit("")))
-    df = df.withColumn("_forms", forms(F.col("_raw"), unicode, confusable, feed))
-    found = []
-    for name, form, wanted in (("raw", "_raw", True), ("norm", "_forms.norm", unicode), ("skel", "_forms.skel", confusable)):
-        if wanted:
-            hits = F.when(F.col(f"_forms.{name}_needle"), pattern_hits(F.col(form), feed)).otherwise(F.array().cast(_NONE))
-            df = df.withColumn(f"_hits_{name}", hits)
-            found.append(f"_hits_{name}")
-    df = df.withColumn("matched_patterns", F.array_distinct(F.concat(*found)) if len(found) > 1 else F.col(found[0]))
+    df = df.drop("verdict", "matched_patterns", "cve_refs")
+    df = df.withColumn("matched_patterns", patterns(F.coalesce(F.col(column), F.lit("")), unicode, confusable, feed))
     df = df.withColumn("cve_refs", advisories(F.col("matched_patterns"), feed))
-    df = df.withColumn("verdict", F.when(F.size("matched_patterns") > 0, F.lit("block")).otherwise(F.lit("allow")))
-    return df.drop("_raw", "_forms", *found)
+    return df.withColumn("verdict", F.when(F.size("matched_patterns") > 0, F.lit("block")).otherwise(F.lit("allow")))
 
 
 def pattern_counts(scanned: DataFrame) -> DataFrame:
