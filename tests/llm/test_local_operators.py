@@ -257,6 +257,29 @@ def test_copies_are_not_template(spark):
     assert extract.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_template_is_found_on_every_kind_of_host(spark):
+    def page(host, i, foot, extra="", kind="a"):
+        return (f"http://{host}/{i}", f"<html><body><div class='{kind}'><h2>Title {i} of {host}</h2><p>Body text number {i} with words enough to be an article of its own</p>{extra}<p>{foot}</p></div></body></html>")
+
+    rows = [page("two", i, "All rights reserved") for i in range(2)]
+    rows += [page("copies", 0, "All rights reserved")] * 30 + [page("copies", i, "All rights reserved") for i in (1, 2)]
+    rows += [page("long", i, "All rights reserved", "".join(f"<p>{i} {k}</p>" for k in range(2000))) for i in range(4)]
+    rows += [page("mixed", i, "Foot of one") for i in range(40)] + [page("mixed", i, "Foot of another", kind="b") for i in range(40, 44)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "page_id long, url string, html string")
+    out = extract.main_text(df).toPandas()
+    assert len(out) == len(rows) and out.text.str.contains("Body text").all()
+    assert not out.text.str.contains("All rights|Foot of").any()
+
+
+def test_counting_finds_what_alignment_finds():
+    one, other = (f"<body><div><p>Same</p><ul><li>{i}</li><li>Also</li></ul><p>Own {i}</p></div><p>End</p></body>" for i in (1, 2))
+    a, b = extract.parse(one), extract.parse(other)
+    leaf = {"".join(x.items) for x, y in extract.aligned(a, b, {}) if x.items and x.items == y.items and not x.children}
+    both = [{k["key"]: k for k in extract.counted(h)[1] if k["level"] == 0} for h in (one, other)]
+    texts = {extract.key(0, p, t): t for p, t, _ in extract.blocks(a)}
+    assert leaf <= {texts[k] for k in both[0].keys() & both[1].keys()} == {"Same", "Also", "End"}
+
+
 def test_extract_query_gives_the_articles(spark, tiny):
     import html
 

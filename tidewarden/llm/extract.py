@@ -1,12 +1,15 @@
 """Main text of web pages by wrapper induction.
 
-For each host a bounded sample of pages (`sample_pages`, chosen by a hash of the
-page's id and its html) is parsed to DOM trees. The first tree is aligned with
-each other one by simple tree matching: the largest order-preserving mapping of
-equal-tagged nodes, by dynamic programming over child lists. A text that stays
-the same in at least `constant_share` of the aligned pages is template; the rest
-are varying slots. The wrapper of a host is the set of its template nodes (hashes
-of path and text) and the path under which most varying text lies.
+A text that stays the same under the same path in at least `constant_share` of the
+pages that have the path, two of them at least, is template; the rest are varying
+slots. This is counted over all pages of a host, and again over all pages of each
+layout of the host (pages with the same containers around the text), so a layout
+with few of the pages has its own template. The equal texts that simple tree
+matching can align in two pages (`match`, `aligned`) lie under equal paths, so
+counting paths and texts finds all that aligning any page with any other would,
+whatever the page's length. Pages of equal text count once. The wrapper of a host
+is the set of its template nodes (hashes of path and text) and, for the host and
+each layout, the path under which most varying text lies.
 
 Every page is then extracted on its own, without a shuffle of html where the
 wrappers are few: its blocks are walked in order, parts whose tag, role or class
@@ -26,14 +29,11 @@ from __future__ import annotations
 
 import html as entities
 import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewarden.llm.common import cut, sliced, small, text_or_empty
@@ -56,6 +56,8 @@ SCOPE = frozenset("table td th caption button object template html".split())
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']|"[^"]*"|'[^']*')*+)>""", re.S)
 _NAMED = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
+#: What pages are laid out with.
+CONTAINERS = frozenset("div section header footer nav aside article main center table tbody tr td form".split())
 
 
 class Node:
@@ -237,81 +239,95 @@ def aligned(a: Node, b: Node, memo: dict) -> Iterator[tuple[Node, Node]]:
                 todo.append((xs[i], ys[j]))
 
 
-def _own(node: Node) -> str:
-    """The text of a node outside its block children."""
-    parts, todo = [], [*reversed(node.items)]
+def layout(root: Node) -> int:
+    """Hash of the page's containers: their paths and class names down to three below the body, none within an article."""
+    seen: set[str] = set()
+    todo = [(root, "", 0)]
     while todo:
-        x = todo.pop()
-        if isinstance(x, str):
-            parts.append(x)
-        elif x.tag == "br":
-            parts.append(" ")
-        elif x.tag in INLINE:
-            todo += reversed(x.items)
-    return tidy(parts)
-
-
-def _paths(root: Node) -> dict[int, str]:
-    out, todo = {}, [(root, "")]
-    while todo:
-        node, path = todo.pop()
-        below = path if node.tag in INLINE else f"{path}/{node.tag}"
-        out[id(node)] = below
-        todo += [(x, below) for x in node.children]
-    return out
-
-
-def induce(pages: list[str], constant_share: float, most_nodes: int) -> tuple[list[int], str]:
-    """The wrapper of one host's sampled pages: hashes of template nodes, and the path of the content."""
-    trees = [t for t in map(parse, dict.fromkeys(pages)) if sum(1 for _ in walk(t)) <= most_nodes]
-    if len(trees) < 4:
-        return [], ""
-    first, same, slots = trees[0], Counter(), Counter()
-    paths, own = _paths(first), {id(n): _own(n) for n in walk(first) if n.tag not in INLINE}
-    for other in trees[1:]:
-        for x, y in aligned(first, other, {}):
-            if text := own.get(id(x)):
-                if text == _own(y):
-                    same[id(x)] += 1
-                else:
-                    slots[paths[id(x)].rpartition("/")[0]] += len(text)
-    need = constant_share * (len(trees) - 1)
-    template = sorted({key(paths[k], own[k]) for k, n in same.items() if n >= need})
-    return template, max(slots, key=lambda p: (slots[p], p), default="")
-
-
-def extract(page: str | None, template: frozenset[int] = frozenset(), content: str = "") -> str:
-    found = blocks(parse(page)) if page else []
-    chosen = [b for b in found if b[2]] or [b for b in found if content and b[0].startswith(content)] or found
-    kept = [b for b in chosen if key(b[0], b[1]) not in template] if template else chosen
+        node, path, depth = todo.pop()
+        for x in node.children:
+            if x.tag in ("html", "body"):
+                todo.append((x, path, 0))
+            elif x.tag in CONTAINERS and depth < 3:
+                words = names(x).get("class", "").split()
+                below = "/".join([path, ".".join([x.tag, *sorted(w for w in words if w.isalpha())])])
+                seen.add(below)
+                if x.tag not in ("article", "main"):
+                    todo.append((x, below, depth + 1))
+    return _hash("\n".join(sorted(seen)))
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def key(level: int, path: str, text: str) -> int:
+    return _hash(f"{level}\n{path}\n{text}")
+
+
+def counted(page: str) -> tuple[bytes, list[dict]]:
+    """Digest of the page's text, and per level (0, the host, and the layout) the distinct texts under each path."""
+    root = parse(page)
+    found = sorted({b[:2] for b in blocks(root)})
+    whole = "\n".join(f"{p}\n{t}" for p, t in found).encode("utf-8", "surrogatepass")
+    return xxhash.xxh3_128_digest(whole), [{"level": v, "path": p, "key": key(v, p, t), "chars": len(t)} for v in (0, layout(root)) for p, t in found]
+
+
+def extract(page: str | None, template: frozenset[int] = frozenset(), content: dict[int, str] | None = None) -> str:
+    if not page:
+        return ""
+    root = parse(page)
+    found = blocks(root)
+    own = layout(root) if template or content else 0
+    under = (content or {}).get(own) or (content or {}).get(0)
+    chosen = [b for b in found if b[2]] or [b for b in found if under and f"{b[0]}/".startswith(f"{under}/")] or found
+    kept = [b for b in chosen if key(0, *b[:2]) not in template and key(own, *b[:2]) not in template] if template else chosen
     if 2 * sum(len(b[1]) for b in kept) < sum(len(b[1]) for b in chosen):
         kept = chosen
     return "\n\n".join(b[1] for b in kept)
 
 
-def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sample_pages: int = 12, constant_share: float = 0.8, most_nodes: int = 1500) -> DataFrame:
+def induce(pages: DataFrame, constant_share: float) -> DataFrame:
+    """host, template, content: the wrapper of each host of pages (host, html), from all of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("level", pa.int64()), ("path", pa.string()), ("key", pa.int64()), ("chars", pa.int64())]))
+        for batch in sliced(batches, "html"):
+            made = [counted(h) for h in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([d for d, _ in made], pa.binary()), pa.array([t for _, t in made], kind)], ["host", "digest", "texts"])
+
+    each = pages.where("html <> ''").mapInArrow(run, "host string, digest binary, texts array<struct<level: long, path: string, key: long, chars: long>>")
+    each = cut(each.dropDuplicates(["host", "digest"]))
+    texts = each.select("host", F.explode("texts").alias("t")).select("host", "t.*")
+    slots = each.select("host", F.explode(F.array_distinct(F.transform("texts", lambda t: F.struct(t["level"], t["path"])))).alias("s"))
+    slots = slots.groupBy("host", "s.level", "s.path").agg(F.count(F.lit(1)).alias("pages"))
+    # The key stands for level, path and text: only what occurs twice can be template.
+    same = texts.groupBy("host", "level", "key").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("path"), F.max("chars").alias("chars")).where("n > 1")
+    fixed = cut(same.join(small(cut(slots.where("pages > 1"))), ["host", "level", "path"]).where(F.col("n") >= constant_share * F.col("pages")))
+
+    template = fixed.groupBy("host").agg(F.collect_set("key").alias("template"))
+    total = texts.groupBy("host", "level", "path").agg(F.sum("chars").alias("chars"))
+    less = fixed.groupBy("host", "level", "path").agg((-F.sum(F.col("n") * F.col("chars"))).alias("chars"))
+    varies = total.unionByName(less).groupBy("host", "level", F.regexp_replace("path", "/[^/]*$", "").alias("path")).agg(F.sum("chars").alias("chars"))
+    best = varies.where("chars > 0").groupBy("host", "level").agg(F.max(F.struct("chars", "path"))["path"].alias("path"))
+    # A layout without template of its own is read as the host is.
+    best = best.join(fixed.select("host", "level").distinct(), ["host", "level"], "left_semi")
+    content = best.groupBy("host").agg(F.collect_list(F.struct("level", "path")).alias("content"))
+    return template.join(content, "host", "left")
+
+
+def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", constant_share: float = 0.8) -> DataFrame:
     """id, url, host, text."""
     host = F.lower(F.regexp_extract(text_or_empty(url_col), r"://([^/?#]*)", 1))
     pages = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
-    # The window keeps sample_pages rows a host and is cut down before its shuffle as well.
-    order = W.partitionBy("host").orderBy("place", "id")
-    narrow = pages.select("host", "id", F.xxhash64(F.lit(3), "id").alias("place"))
-    picked = narrow.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_pages).select("host", "id")
-    sample = pages.join(small(cut(picked)), ["host", "id"], "left_semi").select("host", "id", "html")
-
-    def learn(name: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["id"], kind="stable").head(sample_pages)
-        template, content = induce([h for h in rows["html"] if isinstance(h, str)], constant_share, most_nodes)
-        return pd.DataFrame({"host": [name[0]], "template": [template], "content": [content]})
-
-    wrappers = sample.groupBy("host").applyInPandas(learn, "host string, template array<long>, content string")
+    wrappers = induce(pages.select("host", "html"), constant_share)
     both = pages.join(small(cut(wrappers)), "host", "left")
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "html"):
             rows = zip(*(batch.column(c).to_pylist() for c in ("html", "template", "content")), strict=True)
-            texts = [extract(h, frozenset(t or ()), c or "") for h, t, c in rows]
+            texts = [extract(h, frozenset(t or ()), {x["level"]: x["path"] for x in c or ()}) for h, t, c in rows]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "url", "host")), pa.array(texts, pa.string())], [id_col, "url", "host", "text"])
 
     return both.select("id", "url", "host", "html", "template", "content").mapInArrow(run, f"`{id_col}` {kind}, url string, host string, text string")
