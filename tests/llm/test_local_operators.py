@@ -211,6 +211,16 @@ def test_layouts_around_an_article_are_no_marks():
     assert extract.extract(page) == "Head\n\nSub\n\nText"
 
 
+@pytest.mark.parametrize("page", [
+    '<body><div style="overflow: hidden"><article><p>Text</p></article></div>', '<body><div title="Hidden Figures"><p>Text</p></div>', "<body><div data-role='navigation' data-hidden=hidden><p>Text</p></div>",
+    '<body class="no-comments"><p>Text</p>', '<body><div class="no-sidebar"><p>Text</p></div>', '<body><div class="has-no-comments"><article><p>Text</p></article></div>',
+    '<article><section id="social-history"><p>Text</p></section></article>', '<article><section id="related"><p>Text</p></section></article>', '<article><h2 id="related-work">Text</h2></article>', '<article><p class="notice">Text</p></article>',
+    '<article><p>Text</p><div class="sidebar-left" hidden>no</div><div class="site-footer">no</div><div id="comments">no</div></article>', '<div class="my-related"><a href="/">no</a></div><p>Text</p>', '<div role=navigation>no</div><p hidden>no<p>Text',
+])
+def test_only_marked_parts_are_left_out(page):
+    assert extract.extract(page) == "Text"
+
+
 @pytest.mark.parametrize("bad", ["<a " * 20_000, '<a "' * 20_000, "<script>" * 10_000, "<title>" * 10_000, "<p" * 20_000, "<!--" * 20_000, "<div>" * 10_000, "&" * 50_000])
 def test_broken_pages_take_linear_time(bad):
     import time

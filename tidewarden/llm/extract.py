@@ -54,8 +54,12 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl
 DEEPEST = 512
 SCOPE = frozenset("table td th caption button object template html".split())
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']|"[^"]*"|'[^']*')*+)>""", re.S)
-_NAMED = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_NAMED = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+("[^"]*"|'[^']*'|[^\s"'>]+))?+|"[^"]*"|'[^']*'""")
 _SPLIT = re.compile(r"[^a-z0-9]+")
+#: Words beside a mark that leave its meaning: `sidebar-left`, `site-footer`. With any other word, as in `no-sidebar` or `social-history`, a name is no proof.
+BESIDE = frozenset("area bar block bottom box button buttons col column container content div element entry global group holder id in inner item items js left link links list main module outer page pane panel post posts primary region right row secondary section site slot text the title top unit user view wrap wrapper zone".split())
+#: What holds running text: a name alone never removes these from an article.
+TEXT = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 hgroup blockquote pre li dt dd td th figcaption".split())
 #: What pages are laid out with.
 CONTAINERS = frozenset("div section header footer nav aside article main center table tbody tr td form".split())
 
@@ -118,7 +122,33 @@ def _close(stack: list[Node], tags: set[str], stop: set[str] | frozenset[str]) -
 
 
 def names(node: Node) -> dict[str, str]:
-    return {m[1].lower(): (m[2] or "").strip("\"'").lower() for m in _NAMED.finditer(node.attrs)} if node.attrs else {}
+    """Attributes by name, in lower case; the first of a name counts."""
+    out: dict[str, str] = {}
+    for m in _NAMED.finditer(node.attrs):
+        if m[1]:
+            out.setdefault(m[1].lower(), (m[2] or "").strip("\"'").lower())
+    return out
+
+
+def marks(name: str) -> tuple[set[str], bool]:
+    """The marks among a name's words, and whether the rest of the name leaves them their meaning."""
+    words = {w for w in _SPLIT.split(name) if w and not w.isdigit()}
+    return words & MARKS, words <= MARKS | BESIDE
+
+
+def linked(node: Node) -> bool:
+    """Whether most of the text is that of links."""
+    total = inner = 0
+    todo = [(node, node.tag == "a")]
+    while todo:
+        x, link = todo.pop()
+        for y in x.items:
+            if isinstance(y, str):
+                size = len("".join(y.split()))
+                total, inner = total + size, inner + size * link
+            elif y.tag not in RAW:
+                todo.append((y, link or y.tag == "a"))
+    return 2 * inner > total
 
 
 def holds(node: Node, *tags: str) -> bool:
@@ -129,7 +159,9 @@ def left_out(node: Node, inside: bool) -> bool:
     """Whether the part is no article text by its tag, role or names. inside: it lies within an article.
 
     A header within an article that holds its heading belongs to it. Forms and
-    names that may mean a layout do not count around an article.
+    names that may mean a layout do not count around an article. Names with other
+    words beside the mark, the names of running text within an article and the ids
+    of its sections count only where links make up most of the text.
     """
     tag = node.tag
     if tag in SKIP:
@@ -137,15 +169,27 @@ def left_out(node: Node, inside: bool) -> bool:
     headed = inside and holds(node, "h1", "h2")
     if tag == "header" and not headed:
         return True
-    if not node.attrs or tag in ("html", "body", "article", "main") and "comment" not in node.attrs:
+    if not node.attrs or tag in ("html", "body"):
         return False
     own = names(node)
+    if tag in ("article", "main"):
+        own = {k: v for k, v in own.items() if k in ("class", "id") and "comment" in v}
     if "hidden" in own or own.get("role") in ROLES:
         return True
-    words = {w for k in ("class", "id") for w in _SPLIT.split(own.get(k, ""))} & MARKS
-    if headed:
-        words -= {"header", "masthead"}
-    return bool(words) and (bool(words & REMARKS) or not holds(node, "article", "main"))
+    sure, unsure = set(), set()
+    for name, by_id in [(x, False) for x in own.get("class", "").split()] + [(own.get("id", ""), True)]:
+        found, whole = marks(name)
+        if headed:
+            found -= {"header", "masthead"}
+        if inside and (tag in TEXT or by_id and tag == "section"):
+            whole = False
+        (sure if whole else unsure).update(found)
+    if not sure and not unsure:
+        return False
+    around = holds(node, "article", "main")
+    if sure and (sure & REMARKS or not around):
+        return True
+    return bool(unsure) and not around and linked(node)
 
 
 def walk(node: Node) -> Iterator[Node]:
