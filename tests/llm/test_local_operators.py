@@ -281,6 +281,15 @@ def test_template_is_found_on_every_kind_of_host(spark):
     assert not out.text.str.contains("All rights|Foot of").any()
 
 
+def test_template_goes_from_short_articles_and_copies_stay(spark):
+    legal = "".join(f"<p>Line {k} of the legal text that stands below every article of this site</p>" for k in range(5))
+    rows = [(i, f"http://h.example/{i}", f"<body><div><p>Article {i}</p>{legal}</div></body>") for i in range(6)]
+    rows += [(k, f"http://copy.example/{k}", f"<body><!-- {k} --><div><p>One article</p>{legal}</div></body>") for k in range(6, 9)]
+    out = {r.page_id: r.text for r in extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [out[i] for i in range(6)] == [f"Article {i}" for i in range(6)]
+    assert all(out[k].startswith("One article") and out[k].count("legal") == 5 for k in range(6, 9))
+
+
 def test_counting_finds_what_alignment_finds():
     one, other = (f"<body><div><p>Same</p><ul><li>{i}</li><li>Also</li></ul><p>Own {i}</p></div><p>End</p></body>" for i in (1, 2))
     a, b = extract.parse(one), extract.parse(other)

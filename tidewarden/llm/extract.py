@@ -15,9 +15,9 @@ Every page is then extracted on its own, without a shuffle of html where the
 wrappers are few: its blocks are walked in order, parts whose tag, role or class
 names mark them as menu, header, footer, sidebar, notice, advert, form, script or
 reader comments are left out, the article (or the wrapper's content path, or
-else the body) is taken, and template nodes are dropped. A wrapper that would
-drop more than half of a page's text is not applied to it: such pages are copies
-of each other, not template.
+else the body) is taken, and template nodes are dropped, however much of the page
+they are. What all pages of a host or layout share is template even where the
+pages are near-copies of each other; pages of equal text never make any.
 
 Defined results: a null or empty html, or one without text, gives an empty text;
 a null URL belongs to the empty host; repeated rows get equal results; pages with
@@ -326,8 +326,6 @@ def extract(page: str | None, template: frozenset[int] = frozenset(), content: d
     under = (content or {}).get(own) or (content or {}).get(0)
     chosen = [b for b in found if b[2]] or [b for b in found if under and f"{b[0]}/".startswith(f"{under}/")] or found
     kept = [b for b in chosen if key(0, *b[:2]) not in template and key(own, *b[:2]) not in template] if template else chosen
-    if 2 * sum(len(b[1]) for b in kept) < sum(len(b[1]) for b in chosen):
-        kept = chosen
     return "\n\n".join(b[1] for b in kept)
 
 
