@@ -353,6 +353,14 @@ def test_stages_by_brute_force(spark, tiny):
     assert Counter(mixed.doc_id.dropna()).most_common(1)[0][1] <= 2
 
 
+def test_language_stage_drops_what_no_language_knows(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    odd = spark.createDataFrame([(900_001, "日本語の文章です", None, "src1", 8), (900_002, "ᚠᚢᚦᚨᚱᚲ ᚷᚹᚺᚾ", None, "src1", 11)], docs.schema)
+    got = {r.doc_id for r in corpus_pipeline.language(spark, docs.unionByName(odd), tiny).collect()}
+    letters = docs.toPandas().set_index("doc_id").text.fillna("").map(lambda t: any(c.isalpha() for c in t))
+    assert got == set(letters[letters].index)
+
+
 def test_pipeline_runs(spark, tiny):
     out = corpus_pipeline.run(spark, tiny).toPandas()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "mixing", "packing"]
