@@ -28,12 +28,6 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).where("lang_pred <> 'und' AND score > 0").select(*COLUMNS)
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs with one of the ids; null matches null."""
-    docs = docs.select(*COLUMNS)
-    return docs.join(ids.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-
-
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the smallest id stays, once."""
     stay = exact.exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sum"))
@@ -43,9 +37,16 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8."""
-    found = minhash.near_duplicates(docs, shingle=5)
-    return _only(docs, found.where("kept"))
+    """One document of each group of near-duplicates stays, that with the smallest id: five-word shingles, similarity 0.8.
+
+    Id and text make a document, so rows that share an id, or have none, are judged each by its own text.
+    """
+    own = F.xxhash64(F.lit(5), F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.coalesce("text", F.lit("")))
+    docs = docs.select(*COLUMNS).withColumn("_node", own)
+    found = minhash.near_duplicates(docs, id_col="_node", shingle=5).select("_node", "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_node")
+    least = docs.select("doc_id", "_node").join(found.dropDuplicates(["_node"]), "_node").groupBy("component_id").agg(F.min(order)["_node"].alias("_node"))
+    return docs.join(least.select("_node"), "_node", "left_semi").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

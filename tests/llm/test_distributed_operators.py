@@ -361,6 +361,16 @@ def test_language_stage_drops_what_no_language_knows(spark, tiny):
     assert got == set(letters[letters].index)
 
 
+def test_near_dedup_keeps_rows_that_share_an_id_apart(spark, tiny):
+    first, second, third = (" ".join(f"{w}{k}" for k in range(80)) for w in ("alpha", "beta", "gamma"))
+    rows = [(1, first), (2, first + " end"), (2, second), (None, third), (None, third + " end"), (None, second + " end"), (4, "quite another text of its own")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], schema)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, tiny).collect()]
+    assert len(got) == 4 and {(1, first), (2, second), rows[6]} <= set(got)
+    assert sum(i is None and t.startswith("gamma") for i, t in got) == 1
+
+
 def test_pipeline_runs(spark, tiny):
     out = corpus_pipeline.run(spark, tiny).toPandas()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "mixing", "packing"]
