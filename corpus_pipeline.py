@@ -22,7 +22,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: no text, no letter in it (`und`), or no n-gram that any language knows (score 0)."""
+    """Documents without a language go: no text, no letter in it (`und`), or no more known n-grams than false positives explain (score 0)."""
     docs = docs.select(*COLUMNS)
     model = langid.fit(docs.where(~langid.held_out()))
     return langid.identify(docs, model).where("lang_pred <> 'und' AND score > 0").select(*COLUMNS)
