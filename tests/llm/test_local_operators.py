@@ -200,15 +200,15 @@ PAGE = """<!DOCTYPE html><html><head><title>t &amp; u</title><style>p{}</style><
 
 
 def test_extract_blocks():
-    assert extract.extract(PAGE) == "Head & more\n\nOne two three boldit. next\n\nSecond <b> é\n\na\n\nb\n\nc\n\nd"
-    assert extract.extract("<p>bare") == "bare"
-    assert extract.extract(None) == extract.extract("") == extract.extract("<br><!-- -->") == ""
+    assert extract.alone(PAGE) == "Head & more\n\nOne two three boldit. next\n\nSecond <b> é\n\na\n\nb\n\nc\n\nd"
+    assert extract.alone("<p>bare") == "bare"
+    assert extract.alone(None) == extract.alone("") == extract.alone("<br><!-- -->") == ""
 
 
 def test_layouts_around_an_article_are_no_marks():
     page = """<form id="f"><div class="with-sidebar nav"><article class="post"><header class="x"><h1>Head</h1></header><div class="article-header"><h2>Sub</h2></div>
       <p>Text</p><div class="sidebar"><p>s</p></div></article><section class="reader-comments"><article><p>me too</p></article></section></div></form>"""
-    assert extract.extract(page) == "Head\n\nSub\n\nText"
+    assert extract.alone(page) == "Head\n\nSub\n\nText"
 
 
 @pytest.mark.parametrize("page", [
@@ -218,7 +218,7 @@ def test_layouts_around_an_article_are_no_marks():
     '<article><p>Text</p><div class="sidebar-left" hidden>no</div><div class="site-footer">no</div><div id="comments">no</div></article>', '<div class="my-related"><a href="/">no</a></div><p>Text</p>', '<div role=navigation>no</div><p hidden>no<p>Text',
 ])
 def test_only_marked_parts_are_left_out(page):
-    assert extract.extract(page) == "Text"
+    assert extract.alone(page) == "Text"
 
 
 @pytest.mark.parametrize("bad", ["<a " * 20_000, '<a "' * 20_000, "<script>" * 10_000, "<title>" * 10_000, "<p" * 20_000, "<!--" * 20_000, "<div>" * 10_000, "&" * 50_000])
@@ -226,27 +226,86 @@ def test_broken_pages_take_linear_time(bad):
     import time
 
     start = time.perf_counter()
-    extract.extract(bad)
+    extract.alone(bad)
     warc.derivatives(warc.respond("http://h/", bad, "d"))
     assert time.perf_counter() - start < 5
 
 
 def test_simple_tree_matching_by_brute_force():
-    a, b = extract.parse("<div><p>x</p><ul><li>1</li><li>2</li></ul><p>y</p></div>"), extract.parse("<div><ul><li>1</li></ul><p>y</p><p>z</p></div>")
-
     def brute(x, y):
-        if x.tag != y.tag:
-            return 0
-        xs, ys, best = x.children, y.children, 0
-        for k in range(min(len(xs), len(ys)) + 1):
-            for left in itertools.combinations(xs, k):
-                for right in itertools.combinations(ys, k):
+        best = 0
+        for k in range(min(len(x.children), len(y.children)) + 1):
+            for left in itertools.combinations(x.children, k):
+                for right in itertools.combinations(y.children, k):
                     each = [brute(p, q) for p, q in zip(left, right, strict=True)]
                     if all(each):
                         best = max(best, sum(each))
-        return best + 1
+        return extract.alike(x, y) and best + extract.alike(x, y)
+
+    pages = ["<div><p>x</p><ul><li>1</ul><section><div>a</div></section></div>", "<div class=a><ul><li>1</li></ul><div><p>y</div><section><div>b</div><div class=b>c</div></section></div>", "<section>a</section><div><div>x</div><ul></ul></div><footer>f</footer>"]
+    trees = [extract.tree(extract.outline(p).shape) for p in pages]
+    for a, b in itertools.product(trees, trees):
+        pairs = list(extract.aligned(a, b))
+        assert extract.match(a, b, {}) == brute(a, b) == sum(extract.alike(x, y) for x, y in pairs)
+        assert len({x.number for x, _ in pairs}) == len({y.number for _, y in pairs}) == len(pairs)
+
+
+def test_long_lists_are_aligned_from_both_ends(monkeypatch):
+    shapes = [extract.outline("<body>" + "<div>x</div>" * n + "<section><p>s</p></section>" + "<div>y</div>" * 3).shape for n in (30, 40)]
+    monkeypatch.setattr(extract, "MOST_CELLS", 100)
+    to = extract.align.__wrapped__(*shapes)
+    section = [s.split("\n").index(next(x for x in s.split("\n") if " section " in x)) for s in shapes]
+    assert to[section[0]] == section[1] and to[-1] == shapes[1].count("\n")
 
-    assert extract.match(a, b, {}) == brute(a, b) == len(list(extract.aligned(a, b, {})))
+
+def stripped(page: str) -> str:
+    """The page without what names tell: every container is a bare div."""
+    return re.sub(r"<(/?)(?:article|main|nav|footer|header|aside|section|div)\b[^>]*>", r"<\1div>", page)
+
+
+def test_alignment_alone_finds_the_articles(spark, tiny):
+    pages = spark.read.parquet(f"{tiny}/pages.parquet").toPandas()
+    bare = spark.createDataFrame(pages.assign(html=pages.html.map(stripped)))
+    want = {r.page_id: r.text for r in queries.op6_extract(spark, tiny).collect()}
+    assert {r.page_id: r.text for r in extract.main_text(bare).collect()} == want
+    off = {r.page_id: r.text for r in extract.main_text(spark.read.parquet(f"{tiny}/pages.parquet"), wrappers=False).collect()}
+    assert all(want[k] in off[k] and len(off[k]) > len(want[k]) for k in want)
+
+
+def test_parts_come_and_go_between_pages(spark):
+    """Bare divs; every other page has an advert, every third a list of links, one a footer less."""
+
+    def page(i):
+        menu = "<div><ul>" + "".join(f"<li><a href='/{k}'>menu {(i + k) % 4}</a>" for k in range(3)) + "</ul></div>"
+        ad = f"<div>Buy thing {i % 3} now</div>" if i % 2 else ""
+        more = f"<div><a href='/x'>More {i % 2}</a> <a href='/y'>And more</a></div>" if i % 3 == 0 else ""
+        foot = "" if i == 4 else f"<div>Imprint, printed {i % 5}</div>"
+        return f"<body>{menu}{ad}<div><h1>Head {i}</h1><p>{f'Word{i} ' * 30}</p>{more}<div><p>{f'Deep{i} ' * 20}</p></div></div>{foot}</body>"
+
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(20)]
+    out = {r.page_id: r.text for r in extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {i: f"Head {i}\n\n{f'Word{i} ' * 30}".strip() + "\n\n" + f"Deep{i} ".__mul__(20).strip() for i in range(20)}
+
+
+def test_names_settle_what_alignment_leaves_open(spark):
+    """Comments vary as the article does, and are longer."""
+
+    def page(i):
+        return f"<body><div class='post'><p>{f'Word{i} ' * 30}</p><div class='comments'><p>{f'reply{i} ' * 300}</p></div></div><div id='sidebar'>{f'side{i} ' * 10}</div></body>"
+
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(6)]
+    out = {r.page_id: r.text for r in extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {i: f"Word{i} ".__mul__(30).strip() for i in range(6)}
+
+
+@pytest.mark.parametrize(("part", "text"), [
+    ("<p>Let <math><mi>x</mi></math> be", "Let x be"), ("<p>See <object>the object</object>, <canvas>the canvas</canvas> and <map>the map</map>", "See the object, the canvas and the map"),
+    ("<header><h3>Title</h3></header><p>x", "Title\n\nx"), ("<div class='section-header'><h3>Part two</h3></div><p>x", "Part two\n\nx"),
+    ("<p class='ad-hoc'>one<p class='social-history'>two", "one\n\ntwo"), ("<p title=don't>one</p><p title=\"a>b\">two", "one\n\ntwo"), ("<p title='x>y' data-a=\"it's\">one</p>", "one"),
+])
+def test_article_text_is_whole(part, text):
+    assert extract.alone(f"<body><nav><a href='/'>menu</a></nav><article>{part}</article><footer>foot</footer>") == text
+    assert warc.plain(f"<p>{part}").replace("\n", " ") == text.replace("\n\n", " ")
 
 
 def test_wrapper_drops_what_all_pages_share(spark):
@@ -290,15 +349,6 @@ def test_template_goes_from_short_articles_and_copies_stay(spark):
     assert all(out[k].startswith("One article") and out[k].count("legal") == 5 for k in range(6, 9))
 
 
-def test_counting_finds_what_alignment_finds():
-    one, other = (f"<body><div><p>Same</p><ul><li>{i}</li><li>Also</li></ul><p>Own {i}</p></div><p>End</p></body>" for i in (1, 2))
-    a, b = extract.parse(one), extract.parse(other)
-    leaf = {"".join(x.items) for x, y in extract.aligned(a, b, {}) if x.items and x.items == y.items and not x.children}
-    both = [{k["key"]: k for k in extract.counted(h)[1] if k["level"] == 0} for h in (one, other)]
-    texts = {extract.key(0, p, t): t for p, t, _ in extract.blocks(a)}
-    assert leaf <= {texts[k] for k in both[0].keys() & both[1].keys()} == {"Same", "Also", "End"}
-
-
 def test_extract_query_gives_the_articles(spark, tiny):
     import html
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,12 +19,39 @@ WORD = r"[^\x20\x09-\x0D]++"
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver share: spark.checkpoint.dir.
 
-    Only a session without that setting (local tests) gets a temporary folder.
+    A session on one machine (local tests) may do without that setting and gets a temporary folder.
     """
     sc = spark.sparkContext
+    told = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewarden-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+        if not told and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(told or tempfile.mkdtemp(prefix="tidewarden-"))
+        passing(spark, sc.getCheckpointDir())
+    return told or sc.getCheckpointDir()
+
+
+def passing(spark: SparkSession, folder: str) -> None:
+    """Have the folder deleted when the session's JVM ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
+def passing_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, deleted when the session's JVM ends."""
+    folder = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    passing(spark, folder)
+    return folder
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: like cut(), but compressed and read by columns."""
+    spark = df.sparkSession
+    out = f"{passing_folder(spark, 'tidewarden')}/table"
+    df.write.parquet(out)
+    return spark.read.parquet(out)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -34,8 +34,9 @@ from tidewarden.llm.common import sliced
 
 END = b"\r\n"
 _RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|title)\b.*?(?:</\1\s*>|\Z)|<!DOCTYPE[^>]*>", re.S | re.I)
-_BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>", re.I)
-_TAG = re.compile(r"</?[a-zA-Z](?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>|<[!?][^>]*>")
+_BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul)\b(?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+>", re.I)
+_TAG = re.compile(r"</?[a-zA-Z](?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+>|<[!?][^>]*>")
+_OPEN = re.compile(r"<[a-zA-Z/!?]")
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.S | re.I)
 _LINK = re.compile(r"<a\s(?:[^<>\"']|\"[^\"]*\"|'[^']*')*?\bhref\s*=", re.I)
 _CHARSET = re.compile(rb"charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", re.I)
@@ -81,7 +82,9 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
 
 def plain(page: str) -> str:
     """The text of a page: a line per block, white space folded, character references decoded."""
-    page = _TAG.sub("", _BLOCK.sub("\x00", _RAW.sub("", page)))
+    page = _RAW.sub("", page)
+    end = page.rfind(">") + 1  # what starts behind it is a tag cut short, or text
+    page = _TAG.sub("", _BLOCK.sub("\x00", page[:end])) + _OPEN.split(page[end:], maxsplit=1)[0]
     lines = (" ".join(entities.unescape(x).split()) for x in page.split("\x00"))
     return "\n".join(x for x in lines if x)
 
