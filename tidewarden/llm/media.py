@@ -7,9 +7,12 @@ image rows makes a binary Netpbm (P6) file, an even number a top-down 24 bit BMP
 area-resizes through an integral image, and returns an NPY tile and a
 difference hash. Both work row by row within Arrow batches, without a shuffle.
 
+A row takes about four times its payload of memory: the integral image is kept
+only at the rows where cells of the grids begin or end.
+
 Defined results: a null text counts as empty (one image row of blanks); null or
-undecodable media give a row with null outputs; repeated rows and ties give
-equal rows; an empty table gives none; only the named columns are read, so
+undecodable media (cut short, sizes or samples out of range, unknown packing) give a
+row with null outputs; repeated rows and ties give equal rows; an empty table gives none; only the named columns are read, so
 other columns, whatever their names, do not matter.
 """
 
@@ -84,6 +87,8 @@ def _decode_netpbm(data: bytes) -> np.ndarray:
         flat = np.unpackbits(packed, axis=1)[:, :width].reshape(-1)
     else:
         flat = np.frombuffer(data, np.uint8 if top < 256 else ">u2", width * rows * channels, at + 1)
+    if flat.size and not bitmap and not 0 <= int(flat.min()) <= int(flat.max()) <= top:
+        raise ValueError("sample out of range")
     image = flat.reshape(rows, width, channels)
     if bitmap:
         image = (1 - image) * 255  # in a bitmap 1 is black
@@ -93,10 +98,23 @@ def _decode_netpbm(data: bytes) -> np.ndarray:
     return np.repeat(image, 3, axis=2) if channels == 1 else image
 
 
+#: Where red, green and blue lie in a pixel whose header names no masks.
+MASKS = {16: (0x7C00, 0x3E0, 0x1F), 32: (0xFF0000, 0xFF00, 0xFF)}
+
+
+def _masked(pixels: np.ndarray, mask: int) -> np.ndarray:
+    """The channel under a mask, brought to 0..255."""
+    if not mask:
+        return np.zeros(pixels.shape, np.uint8)
+    low = (mask & -mask).bit_length() - 1
+    most = mask >> low
+    return (((pixels.astype(np.int64) & mask) >> low) * 255 + most // 2) // most
+
+
 def _decode_bmp(data: bytes) -> np.ndarray:
     offset, head, width, height, _, depth, packing = struct.unpack_from("<IIiiHHI", data, 10)
     rows = abs(height)
-    if width < 1 or rows < 1 or packing not in (0, 3) or depth not in (1, 4, 8, 24, 32):
+    if width < 1 or rows < 1 or depth not in (1, 4, 8, 16, 24, 32) or packing not in ((0, 3) if depth in MASKS else (0,)):
         raise ValueError("unsupported BMP")
     stride = -(-width * depth // 32) * 4
     lines = np.frombuffer(data, np.uint8, stride * rows, offset).reshape(rows, stride)
@@ -106,8 +124,12 @@ def _decode_bmp(data: bytes) -> np.ndarray:
         bits = np.unpackbits(lines, axis=1).reshape(rows, -1, depth)
         index = bits @ (1 << np.arange(depth - 1, -1, -1))
         image = palette[index[:, :width]]
+    elif depth in MASKS:
+        masks = struct.unpack_from("<III", data, 54) if packing == 3 else MASKS[depth]
+        pixels = lines.view(f"<u{depth // 8}")[:, :width]
+        image = np.stack([_masked(pixels, m) for m in masks], axis=2).astype(np.uint8)
     else:
-        image = lines[:, : width * depth // 8].reshape(rows, width, depth // 8)[:, :, 2::-1]
+        image = lines[:, : 3 * width].reshape(rows, width, 3)[:, :, ::-1]
     return image if height < 0 else image[::-1]
 
 
@@ -120,36 +142,44 @@ def decode(data: bytes) -> np.ndarray:
     raise ValueError("neither Netpbm nor BMP")
 
 
-def integral(image: np.ndarray) -> np.ndarray:
-    """sum[y, x] of all samples above and left of the pixel corner (y, x)."""
-    out = np.zeros((image.shape[0] + 1, image.shape[1] + 1, 3), np.int64)
-    np.cumsum(image, axis=0, dtype=np.int64, out=out[1:, 1:])
-    np.cumsum(out[1:, 1:], axis=1, out=out[1:, 1:])
-    return out
+class Integral:
+    """sums[k, x]: all samples above row corners[k] and left of pixel corner x."""
+
+    def __init__(self, image: np.ndarray, cells: tuple[int, ...]):
+        """cells: into how many rows of cells the image will be divided; only their first and last rows are kept."""
+        self.rows, self.cols = image.shape[:2]
+        lows = np.concatenate([_edges(self.rows, n)[0] for n in cells])
+        self.corners = np.unique(np.concatenate([lows, np.minimum(lows + 1, self.rows)]))
+        bands = np.add.reduceat(image, self.corners[:-1], axis=0, dtype=np.int64)
+        self.sums = np.zeros((len(self.corners), self.cols + 1, 3), np.int64)
+        np.cumsum(bands, axis=0, out=self.sums[1:, 1:])
+        np.cumsum(self.sums[1:, 1:], axis=1, out=self.sums[1:, 1:])
 
 
-def _at(table: np.ndarray, cells: int, axis: int) -> np.ndarray:
-    """The integral at the edges of equal cells; between corners it is linear."""
-    size = table.shape[axis] - 1
+def _edges(size: int, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the edges of equal cells the pixel corner before each, and how far behind it the edge lies."""
     edge = np.arange(cells + 1) * size
-    low, part = edge // cells, (edge % cells) / cells
-    shape = [1, 1, 1]
-    shape[axis] = -1
-    part = part.reshape(shape)
-    below = np.take(table, low, axis)
-    above = np.take(table, np.minimum(low + 1, size), axis)
-    return below * (1 - part) + above * part
+    return edge // cells, (edge % cells) / cells
+
+
+def _between(table: np.ndarray, low: np.ndarray, high: np.ndarray, part: np.ndarray, axis: int) -> np.ndarray:
+    """The table at edges; between corners it is linear."""
+    part = part.reshape([-1 if k == axis else 1 for k in range(3)])
+    return np.take(table, low, axis) * (1 - part) + np.take(table, high, axis) * part
 
 
-def resize(table: np.ndarray, rows: int, cols: int) -> np.ndarray:
+def resize(table: Integral, rows: int, cols: int) -> np.ndarray:
     """Mean of the area of each cell of a rows x cols grid over the image, from its integral."""
-    corner = _at(_at(table, rows, 0), cols, 1)
+    low, part = _edges(table.rows, rows)
+    at = [np.searchsorted(table.corners, np.minimum(low + k, table.rows)) for k in (0, 1)]
+    corner = _between(table.sums, *at, part, 0)
+    low, part = _edges(table.cols, cols)
+    corner = _between(corner, low, np.minimum(low + 1, table.cols), part, 1)
     sums = corner[1:, 1:] - corner[:-1, 1:] - corner[1:, :-1] + corner[:-1, :-1]
-    area = (table.shape[0] - 1) * (table.shape[1] - 1) / (rows * cols)
-    return sums / area
+    return sums / (table.rows * table.cols / (rows * cols))
 
 
-def difference_hash(table: np.ndarray) -> str:
+def difference_hash(table: Integral) -> str:
     """64 bits from left-right and 64 from up-down comparisons of grey cells, as hex."""
     across = np.rint(resize(table, 8, 9) @ LUMA * 256)
     down = np.rint(resize(table, 9, 8) @ LUMA * 256)
@@ -190,9 +220,9 @@ def media_features(df: DataFrame, keep: list[str], media_col: str = "media", til
     def one(data: bytes | None) -> tuple:
         try:
             image = decode(data or b"")
-        except (ValueError, struct.error, IndexError):
+        except (ValueError, OverflowError, struct.error, IndexError):
             return None, None, None, None, None
-        table = integral(image)
+        table = Integral(image, (tile, 8, 9))
         small = np.rint(resize(table, tile, tile)).astype(np.uint8)
         return image.shape[1], image.shape[0], image.tobytes(), npy(small), difference_hash(table)
 
