@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -50,7 +52,7 @@ def stored(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: like cut(), but compressed and read by columns."""
     spark = df.sparkSession
     out = f"{passing_folder(spark, 'tidewarden')}/table"
-    df.write.parquet(out)
+    df.write.option("compression", "zstd").parquet(out)
     return spark.read.parquet(out)
 
 
@@ -70,6 +72,13 @@ def small(df: DataFrame, most: int = 32 << 20) -> DataFrame:
     return F.broadcast(df) if held <= most else df
 
 
+def trim() -> None:
+    """Give memory that a finished task no longer uses back to the system: Python workers live on for the next tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_or_empty(col: str) -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
@@ -87,3 +96,4 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
             total += size
         if start < batch.num_rows:
             yield batch.slice(start)
+    trim()

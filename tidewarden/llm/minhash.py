@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewarden.llm.common import cut, sliced, small, stored
+from tidewarden.llm.common import cut, sliced, small, stored, trim
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xD6E8FEB86659FD93)
@@ -192,6 +192,7 @@ def confirm(df: DataFrame, pairs: DataFrame, size: int, similarity: int, part: i
                     if any(100 * n >= similarity * (len(mine) + len(h) - n) for n, h in zip(both.tolist(), hub, strict=True)):
                         found.append((a, own))
             yield _links(found)
+        trim()
 
     return cut(dealt.mapInArrow(compare, "a long, b long").distinct())
 
@@ -223,6 +224,7 @@ def blocks_of(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], key: in
             group.append(row)
     if group:
         yield group
+    trim()
 
 
 def near(sigs: np.ndarray, sides: np.ndarray, comps: np.ndarray, i: int, cross: bool, band: int, per_band: int, loose: float) -> np.ndarray:

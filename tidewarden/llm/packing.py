@@ -224,7 +224,7 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
                 for row in packer.add(doc, words(text) + end):
                     rows.append(row)
                     held += len(row[3])
-                if held > 8 << 20:
+                if held > 4 << 20:
                     yield out()
                     rows, held = [], 0
         rows += packer.end()
