@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import os
 import threading
+import time
 
 import duckdb
 import pytest
@@ -15,7 +17,8 @@ from tidewarden.api import TOOLS, Inspector
 from tidewarden.operators.policy import Policy
 from tidewarden.plans import queries as plans
 from tidewarden.sources import lines
-from tidewarden.sources.store import PINS, Table
+from tidewarden.sources.store import AUDIT, PINS, Log, Table
+from tidewarden.sources.work import numbered
 from tidewarden.streaming import drift, messages
 
 
@@ -64,7 +67,42 @@ def test_stream_rereads_the_policy(spark, tmp_path):
         seen.append(name)
     got = spark.read.parquet(str(tmp_path / "out" / "messages")).orderBy("batch").collect()
     assert [r.action for r in got] == seen and source.error
-    assert spark.read.parquet(str(tmp_path / "out" / "audit")).count() == 3
+    log = Log(spark, str(tmp_path / "out" / "audit"), AUDIT)
+    assert [r.seq for r in log.read().orderBy("seq").collect()] == [1, 2, 3]
+    assert (tmp_path / "out" / "forwarded").is_dir() and got[0].seq == 0 and got[1].seq == 1 << 40
+
+
+def test_numbers_are_gapless_in_any_number_of_partitions(spark):
+    got = numbered(spark.range(300).repartition(200), 10).collect()
+    assert sorted(r.seq for r in got) == list(range(10, 310))
+    assert numbered(spark.range(0)).count() == 0
+
+
+def test_a_lock_nobody_renews_is_taken(spark, tmp_path):
+    table = Table(spark, str(tmp_path / "pins"), PINS)
+    (tmp_path / "pins").mkdir()
+    (tmp_path / "pins" / "_lock").write_text("")
+    os.utime(tmp_path / "pins" / "_lock", (1, 1))
+    with table.lock(wait=5):
+        assert (tmp_path / "pins" / "_lock").exists()
+        with pytest.raises(TimeoutError), Table(spark, table.path, PINS).lock(wait=0.2):
+            pass
+    assert not list((tmp_path / "pins").glob("_*"))
+    with table.lock(stale=0.4):  # renewed as long as it is held
+        time.sleep(1)
+        with pytest.raises(TimeoutError), Table(spark, table.path, PINS).lock(wait=0.2, stale=0.4):
+            pass
+
+
+def test_appends_are_numbered_once(spark, tmp_path):
+    log = Log(spark, str(tmp_path / "audit"), AUDIT)
+    entry = lambda *marks: spark.createDataFrame([(m, "inbound", [], []) for m in marks], AUDIT.partition(", ")[2])
+    log.append(entry("a", "b"), "one")
+    log.append(entry(), "none")
+    log.append(entry("c"), "two")
+    log.append(entry("A", "B"), "one")
+    log.append(entry("d"))
+    assert [(r.seq, r.ts_iso) for r in log.read().orderBy("seq").collect()] == [(1, "A"), (2, "B"), (3, "c"), (4, "d")]
 
 
 def test_drift_steps():

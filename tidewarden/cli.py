@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from tidewarden import __version__
 from tidewarden.api import Inspector, ToolError
-from tidewarden.operators import manifest, trust
-from tidewarden.operators.policy import Policy, decide
+from tidewarden.operators import audit, manifest, trust
+from tidewarden.operators.policy import Policy, enforce
 from tidewarden.sources import lines
 
 
@@ -154,9 +154,15 @@ def _drift(tools: Inspector, given: argparse.Namespace, action: str | None) -> i
 
 
 def _decide(tools: Inspector, given: argparse.Namespace, action: str | None) -> int:
-    found = decide(lines.read_lines(tools.spark, given.path, given.direction, given.program), tools.policy, tools.baselines.read())
-    found.write.mode("overwrite").parquet(given.out)
-    _show([r.asDict() for r in tools.spark.read.parquet(given.out).groupBy("action").count().orderBy("action").collect()])
+    """Decide a file of lines, check its tool lists against the baselines, and keep baselines and audit log up to date."""
+    rows = lines.read_lines(tools.spark, given.path, given.direction, given.program).withColumn("ts_iso", F.lit(tools.now()))
+    done, after = enforce(rows, tools.policy, tools.baselines.read())
+    done.write.mode("overwrite").parquet(given.out)
+    decided = tools.spark.read.parquet(given.out)
+    tools.audit.append(audit.entries(decided), order="seq")
+    if tools.policy.tools_list_drift_detection != "off":
+        tools.baselines.update(lambda _: after)
+    _show([r.asDict() for r in decided.groupBy("action").count().orderBy("action").collect()])
     return 0
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewarden.sources.work import materialised
+
 COLUMNS = ["seq", "ts_iso", "direction", "matched_patterns", "cve_refs"]
 
 
@@ -39,14 +42,27 @@ def report(log: DataFrame) -> DataFrame:
 def nearest_rank(df: DataFrame, column: str, ranks: tuple[float, ...] = (0.5, 0.99, 0.999, 1.0)) -> DataFrame:
     """(p, value): the element at index round((n - 1) * p) of the sorted column, halves away from zero.
 
-    An exact order statistic by aggregation of value counts, without a global sort.
+    Exact, without a sort of the rows: value counts are dealt out by range, one total a
+    range goes to the driver, and only the ranges that hold an asked index are walked.
     """
-    values = df.select(F.col(column).alias("v")).where("v IS NOT NULL")
-    n = values.count()
-    if not n:
-        return values.select(F.lit(0.0).alias("p"), F.col("v").cast("double").alias("value")).limit(0)
-    picks = [(p, int((n - 1) * p + 0.5)) for p in ranks]
-    # The first value whose share of rows at or below it reaches (index + 0.5) / n is the one at that index.
-    found = [F.expr(f"percentile_disc({(k + 0.5) / n!r}D) WITHIN GROUP (ORDER BY v)").alias(f"v{i}") for i, (_, k) in enumerate(picks)]
-    wide = values.agg(*found)
-    return wide.select(F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.col(f"v{i}").cast("double").alias("value")) for i, (p, _) in enumerate(picks)])).alias("x")).select("x.*")
+    counts = df.select(F.col(column).alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    ranged = materialised(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()))
+    totals = sorted(ranged.groupBy("part").agg(F.sum("c")).collect())
+    n, asked = sum(t for _, t in totals), []
+    for p in ranks if n else ():
+        index, before = int((n - 1) * p + 0.5), 0
+        for part, total_ in totals:
+            if index < before + total_:
+                asked.append((float(p), part, index - before))
+                break
+            before += total_
+    wanted = df.sparkSession.createDataFrame(asked, "p double, part int, rest long")  # one row a rank
+    up_to = F.sum("c").over(W.partitionBy("part").orderBy("v"))
+    walked = ranged.where(F.col("part").isin(sorted({a[1] for a in asked}))).withColumn("up_to", up_to)
+    return walked.join(F.broadcast(wanted), "part").where(F.col("up_to") > F.col("rest")).groupBy("p").agg(F.min("v").cast("double").alias("value")).orderBy("p")
+
+
+def measured(decided: DataFrame, observation: Observation) -> DataFrame:
+    """decided, counting as it is read: messages, blocks, warnings, refusals and replaced lists."""
+    counts = {"messages": F.lit(True), "blocked": F.col("action") == "block", "warned": F.col("action") == "warn", "refused": F.col("action") == "refuse", "recorded": F.col("recorded")}
+    return decided.observe(observation, *(F.sum(F.when(c, 1).otherwise(0)).alias(k) for k, c in counts.items()))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewarden.functions import crypto, jsons
 from tidewarden.functions.text import WHITE_SPACE
+from tidewarden.sources.work import materialised
 
 _HIDDEN = {c: None for a, b in ((0x200B, 0x200F), (0x2060, 0x2064), (0xFEFF, 0xFEFF), (0x202A, 0x202E), (0x2066, 0x2069), (0xE0000, 0xE007F)) for c in range(a, b + 1)}
 TOOL = "struct<name:string,description_hash:string,param_names:array<string>,required_set_hash:string>"
@@ -140,13 +141,28 @@ def difference_of(base: Column, current: Column) -> Column:
     )
 
 
-def observe(snapshots: DataFrame, baselines: DataFrame | None = None, order: str = "seq", iso: str = "ts_iso", backend: str = "blake3", jcs: bool = False) -> tuple[DataFrame, DataFrame]:
+def every_fingerprint(kinds: list[tuple[str, bool]], raw: str, program: str) -> Column:
+    """For each (backend, jcs) the tools and the aggregate hash of a manifest, as an array; all in one Python pass."""
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        none = {"tools": None, "aggregate_hash": None}
+        for programs, raws in batches:
+            each = [fingerprint_many([p or "" for p in programs], list(raws), b, j) for b, j in kinds]
+            yield pd.Series([[m or none for m in row] for row in zip(*each, strict=True)], dtype=object)
+
+    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, f"array<{MADE}>")(program, raw)
+
+
+def observe(snapshots: DataFrame, baselines: DataFrame | None = None, order: str = "seq", iso: str = "ts_iso", backend: str = "blake3", jcs: bool = False, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(outcomes, baselines after): each snapshot (program, raw, order, iso) against its program's baseline.
 
     A program without a baseline gets its first readable snapshot as one. That
     snapshot is `unknown`; the others `match`, or `drift` with the difference; an
     unreadable one is an `error` and changes nothing. A match moves last_seen_iso,
-    drift moves nothing. Baselines are found by a hash aggregate with map-side
+    drift moves nothing. Of snapshots of one program and order the one with the smallest hash
+    comes first, then the earliest stamp; every snapshot has one outcome, which carries the columns `keep`.
+    Manifests are parsed once. Baselines are found by a hash aggregate with map-side
     partials, so a program with most of the rows is no hot task.
     """
     kinds = [(backend, jcs)]
@@ -154,33 +170,33 @@ def observe(snapshots: DataFrame, baselines: DataFrame | None = None, order: str
         known = baselines.select("program", "baseline_iso", "last_seen_iso", *FINGERPRINT)
         kinds += [x for b in crypto.BACKENDS for j in (False, True) if (x := (b, j)) not in kinds]
         kinds = kinds[:1] + [tuple(r) for r in known.select("hash_backend", "jcs_canonical").distinct().collect() if tuple(r) != kinds[0]]  # four at most
-    each = snapshots.select("program", "raw", F.col(order).alias("_seq"), F.col(iso).alias("_iso"))
-    made = fingerprints(each, "raw", "program", backend, jcs)
-    for k, (b, j) in enumerate(kinds[1:], 1):
-        more = fingerprints(each.select("program", "_seq", "raw"), "raw", "program", b, j)
-        made = made.join(more.select("program", "_seq", F.struct("aggregate_hash", "tools", "hash_backend", "jcs_canonical").alias(f"_alt{k}")), ["program", "_seq"], "left")
-    readable = made.where("tools IS NOT NULL")
-    first = readable.groupBy("program").agg(F.min_by(F.struct(F.col("_iso").alias("baseline_iso"), F.col("_iso").alias("last_seen_iso"), *FINGERPRINT, "_seq"), "_seq").alias("b")).select("program", "b.*")
+    if any(b not in crypto.BACKENDS for b, _ in kinds):
+        raise ValueError(f"hash backend {kinds!r}")
+    each = snapshots.select("program", F.col(order).alias("_seq"), F.col(iso).alias("_iso"), *keep, every_fingerprint(kinds, "raw", "program").alias("_made"), F.monotonically_increasing_id().alias("_row"))
+    made = materialised(each)
+    own = F.col("_made")[0]
+    made = made.withColumns({"tools": own["tools"], "aggregate_hash": own["aggregate_hash"], "tools_count": F.when(own["tools"].isNotNull(), F.size(own["tools"])), "hash_backend": F.lit(backend), "jcs_canonical": F.lit(jcs)})
+    readable, arrival = made.where("tools IS NOT NULL"), F.struct("_seq", "aggregate_hash", "_iso", "_row")
+    first = readable.groupBy("program").agg(F.min_by(F.struct(F.col("_iso").alias("baseline_iso"), F.col("_iso").alias("last_seen_iso"), *FINGERPRINT, "_row"), arrival).alias("b")).select("program", "b.*")
     if baselines is not None:
         fresh = first.join(known.select("program"), "program", "left_anti")
-        pins = known.withColumn("_seq", F.lit(None).cast(dict(first.dtypes)["_seq"])).unionByName(fresh)
+        pins = known.withColumn("_row", F.lit(None).cast("long")).unionByName(fresh)
     else:
         pins = first
+    pins = materialised(pins)
     base = pins.select("program", F.struct(*[c for c in pins.columns if c != "program"]).alias("_base"))
     both = made.join(base, "program", "left")
-    current = F.struct("aggregate_hash", "tools", "hash_backend", "jcs_canonical")
-    for k in range(1, len(kinds)):
-        alt = F.col(f"_alt{k}")
-        same = (alt["hash_backend"] == F.col("_base.hash_backend")) & (alt["jcs_canonical"] == F.col("_base.jcs_canonical"))
-        current = F.when(same, alt).otherwise(current)
+    current = own
+    for k, (b, j) in enumerate(kinds[1:], 1):
+        current = F.when((F.col("_base.hash_backend") == b) & (F.col("_base.jcs_canonical") == j), F.col("_made")[k]).otherwise(current)
     both = both.withColumn("_now", current)
-    kind = F.when(F.col("tools").isNull(), "error").when(F.col("_base._seq") == F.col("_seq"), "unknown").when(F.col("_base.aggregate_hash") == F.col("_now.aggregate_hash"), "match").otherwise("drift")
+    kind = F.when(F.col("tools").isNull(), "error").when(F.col("_base._row") == F.col("_row"), "unknown").when(F.col("_base.aggregate_hash") == F.col("_now.aggregate_hash"), "match").otherwise("drift")
     both = both.withColumn("kind", kind)
     drifted = F.col("kind") == "drift"
-    out = both.select("program", F.col("_seq").alias(order), F.col("_iso").alias(iso), "kind", F.col("_now.aggregate_hash").alias("aggregate_hash"), F.when(drifted, difference_of(F.col("_base.tools"), F.col("_now.tools"))).alias("detail"), F.when(drifted, F.col("_base.baseline_iso")).alias("baseline_iso"))
+    out = both.select("program", F.col("_seq").alias(order), F.col("_iso").alias(iso), *keep, "kind", F.col("_now.aggregate_hash").alias("aggregate_hash"), F.when(drifted, difference_of(F.col("_base.tools"), F.col("_now.tools"))).alias("detail"), F.when(drifted, F.col("_base.baseline_iso")).alias("baseline_iso"))
     # Arrival order counts: the last match, not the latest stamp.
-    seen = both.where("kind = 'match'").groupBy("program").agg(F.max_by("_iso", "_seq").alias("_seen"))
-    after = pins.drop("_seq").join(seen, "program", "left").withColumn("last_seen_iso", F.coalesce("_seen", "last_seen_iso")).drop("_seen")
+    seen = both.where("kind = 'match'").groupBy("program").agg(F.max_by("_iso", arrival).alias("_seen"))
+    after = pins.drop("_row").join(seen, "program", "left").withColumn("last_seen_iso", F.coalesce("_seen", "last_seen_iso")).drop("_seen")
     return out, after
 
 

@@ -19,6 +19,7 @@ from tidewarden.functions import rules, text
 from tidewarden.functions.messages import message
 from tidewarden.operators import identity, manifest
 from tidewarden.operators.scan import scan
+from tidewarden.sources.work import materialised
 
 FAIL_MODES, DRIFT_MODES, HASH_BACKENDS = ("open", "closed"), ("off", "warn", "block"), ("blake3", "sha256")
 #: JSON-RPC error codes of replies.
@@ -200,10 +201,10 @@ def enforce(lines: DataFrame, policy: Policy, baselines: DataFrame, order: str =
     decided = decide(lines, policy, baselines).drop("drift", "stamped")
     if policy.tools_list_drift_detection == "off":
         return decided.withColumns({"drift": F.lit(None).cast("string"), "stamped": F.lit(None).cast("string")}), baselines
+    columns, decided = decided.columns, materialised(decided.withColumn("_line", F.monotonically_increasing_id()))
     lists = decided.where((F.col("direction") == "outbound") & (F.col("kind") == "tools_list_response"))
-    found, after = manifest.observe(lists, baselines, order, iso, policy.tools_list_hash_backend, policy.tools_list_jcs_canonicalize)
-    found = found.select(F.col("program").alias("_p"), F.col(order).alias("_o"), F.col("kind").alias("drift"), "detail")
-    df = decided.join(found, (F.col("program") == F.col("_p")) & (F.col(order) == F.col("_o")), "left")
+    found, after = manifest.observe(lists, baselines, order, iso, policy.tools_list_hash_backend, policy.tools_list_jcs_canonicalize, ("_line",))
+    df = decided.join(found.select("_line", F.col("kind").alias("drift"), "detail"), "_line", "left")
     replaced = (F.col("drift") == "drift") & F.lit(policy.tools_list_drift_detection == "block")
     # Only lists that are replaced are parsed for their id once more.
     ident = message(F.when(replaced, F.col("raw")))["id"]
@@ -217,4 +218,4 @@ def enforce(lines: DataFrame, policy: Policy, baselines: DataFrame, order: str =
         df = df.join(base, F.col("program") == F.col("_b"), "left").withColumn("stamped", manifest.stamped(F.when(accepted, F.col("raw")), F.col("_base"), f"{NAME}/fingerprint", __version__))
     else:
         df = df.withColumn("stamped", F.lit(None).cast("string"))
-    return df.select(*decided.columns, "drift", "stamped"), after
+    return df.select(*columns, "drift", "stamped"), after

@@ -11,6 +11,7 @@ with a character that normalising can change are looked at one by one.
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from functools import reduce
@@ -23,18 +24,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewarden.functions import rules, text
+from tidewarden.sources.work import spread
 
 _NONE = "array<string>"
 FORMS = T.StructType([T.StructField("norm", T.StringType()), T.StructField("skel", T.StringType())])
 Lists = tuple[list[str | None], list[str | None]]
 
 
+@functools.cache
+def _tools() -> tuple[re.Pattern[str], re.Pattern[str], dict[int, int]]:
+    """What finds escapes and invisible characters, and the look-alikes' table."""
+    return re.compile(text.python_regex(rules.ESCAPES)), re.compile(text.python_regex(rules.INVISIBLE)), str.maketrans(*rules.lookalikes())
+
+
 def _changed(raw: pa.Array, unicode: bool, confusable: bool) -> Lists:
     """The normalised form, null where it is the raw text, and the look-alike form, null where it is the form before."""
     norm: list[str | None] = [None] * len(raw)
     skel: list[str | None] = [None] * len(raw)
-    escapes, hidden = re.compile(text.python_regex(rules.ESCAPES)), re.compile(text.python_regex(rules.INVISIBLE))
-    letters = str.maketrans(*rules.lookalikes())
+    escapes, hidden, letters = _tools()
     if unicode or confusable:
         odd = pc.indices_nonzero(pc.fill_null(pc.match_substring_regex(raw, text.MAY_CHANGE), False))
         for i, data in zip(odd.to_pylist(), raw.take(odd).cast(pa.binary()).to_pylist(), strict=True):
@@ -86,8 +93,8 @@ def advisories(hits: Column, feed: list[dict[str, Any]] | None = None) -> Column
 
 
 def scan(df: DataFrame, column: str = "text", unicode: bool = True, confusable: bool = True, feed: list[dict[str, Any]] | None = None) -> DataFrame:
-    """df with verdict, matched_patterns and cve_refs. A null payload counts as empty."""
-    df = df.drop("verdict", "matched_patterns", "cve_refs")
+    """df with verdict, matched_patterns and cve_refs. A null payload counts as empty. Inputs of few files are dealt over all cores."""
+    df = spread(df.drop("verdict", "matched_patterns", "cve_refs"))
     df = df.withColumn("matched_patterns", patterns(F.coalesce(F.col(column), F.lit("")), unicode, confusable, feed))
     df = df.withColumn("cve_refs", advisories(F.col("matched_patterns"), feed))
     return df.withColumn("verdict", F.when(F.size("matched_patterns") > 0, F.lit("block")).otherwise(F.lit("allow")))

@@ -7,18 +7,22 @@ payload is appended, or characters are replaced or inserted, alike on both sides
 from __future__ import annotations
 
 import base64
-import uuid
+import functools
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewarden.api import Inspector
 from tidewarden.functions import crypto, jsons, rules, semver, text
 from tidewarden.operators import audit, feed, identity, manifest, policy, trust
 from tidewarden.operators.scan import pattern_counts, scan
 from tidewarden.plans import sql
 from tidewarden.sources import lines
-from tidewarden.sources.store import BASELINES
+from tidewarden.sources.store import AUDIT, BASELINES, Log, Table
+from tidewarden.sources.work import new_folder
 from tidewarden.streaming import drift, messages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,14 +50,6 @@ def flat(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, "verdict", F.array_join("matched_patterns", ",").alias("patterns"), F.array_join("cve_refs", ",").alias("refs"))
 
 
-def shared(spark: SparkSession) -> str:
-    """A new folder that all executors share."""
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{root.rstrip('/')}/tidewarden-{uuid.uuid4().hex}"
-
-
 # ------------------------------------------------------------------ payload scans
 
 PAYLOADS = [r["simulate_payload"] for r in rules.feed_rows()]
@@ -182,7 +178,7 @@ def policy_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_DECIDE)
 def stream_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same decisions by a stream over files of messages, read back from its sink."""
-    root = shared(spark)
+    root = new_folder(spark)
     envelopes(table(spark, sf_dir, "conversations")).write.parquet(f"{root}/in")
     stream = spark.readStream.schema(spark.read.parquet(f"{root}/in").schema).option("maxFilesPerTrigger", 100).parquet(f"{root}/in")
     messages.run(stream, lambda: POLICY, f"{root}/out", f"{root}/checkpoint", lambda: BASELINE_ISO).awaitTermination()
@@ -340,7 +336,7 @@ def drift_observe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_DRIFT)
 def stream_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by a stateful stream, a file of snapshots for each turn."""
-    root = shared(spark)
+    root = new_folder(spark)
     for turn in range(4):
         snapshots(spark, sf_dir).where(F.col("seq") % 10 == turn).coalesce(1).write.parquet(f"{root}/in/{turn}")
     key = "spark.sql.streaming.stateStore.providerClass"
@@ -361,13 +357,96 @@ def drift_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return after.select("program", "baseline_iso", "last_seen_iso", "tools_count")
 
 
-@query(f"SELECT program, seq, kind AS drift, CASE WHEN kind = 'drift' THEN 'replace' ELSE 'forward' END AS action, kind IN ('unknown', 'match') AS stamped FROM ({_DRIFT}) WHERE kind <> 'error' UNION ALL SELECT program, seq, NULL, 'forward', false FROM ({_DRIFT}) WHERE kind = 'error'")
+# The plain list's fingerprint is every program's baseline.
+_PLAIN = "SELECT 'tool_' || i AS name, 'sha256:' || substr(sha256('does ' || i), 1, 32) AS dh, 'sha256:' || substr(sha256('q,'), 1, 32) AS rh FROM (VALUES (1), (2)) AS v(i)"
+_BASE = f"SELECT s_suppkey, 'sha256:' || substr(sha256(encode('/srv/' || s_suppkey) || unhex('0200000000000000') || encode(body)), 1, 32) AS aggregate_hash FROM supplier, (SELECT string_agg(name || chr(0) || dh || chr(0) || 'q,' || chr(0) || rh || chr(10), '' ORDER BY name) AS body FROM ({_PLAIN}))"
+_SAID = "review the difference, then trust the new manifest or clear the baseline"
+_ENFORCE = f"""WITH d AS ({_DRIFT}), b AS ({_BASE})
+SELECT d.program, seq, CASE WHEN kind <> 'error' THEN kind END AS drift, CASE WHEN kind = 'drift' THEN 'replace' ELSE 'forward' END AS action,
+  CASE WHEN kind = 'drift' THEN '{{"error":{{"code":-32001,"data":{{"drift":' || detail || ',"program":"' || d.program || '","remediation":"{_SAID}"}},"message":"tools/list drift detected by tidewarden: policy violation"}},"id":1,"jsonrpc":"2.0"}}' END AS reply,
+  CASE WHEN kind IN ('unknown', 'match') THEN aggregate_hash || ' sha256 false 2 2024-01-01T00:00:00Z' END AS stamped
+FROM d JOIN b ON d.program = '/srv/' || b.s_suppkey"""
+STRICT = policy.Policy(tools_list_drift_detection="block", tools_list_hash_backend="sha256", inject_fingerprint_meta=True)
+
+
+def enforced(out: DataFrame) -> DataFrame:
+    """What is said of each list, and the fingerprint that its stamped form carries."""
+    fields = [F.get_json_object("stamped", f"$.result._meta['tidewarden/fingerprint'].{k}") for k in ("aggregate_hash", "hash_backend", "jcs_canonical", "tools_count", "baseline_iso")]
+    return out.select("program", "seq", "drift", "action", "reply", F.when(F.col("stamped").isNotNull(), F.concat_ws(" ", *fields)).alias("stamped"))
+
+
+@query(_ENFORCE)
 def drift_enforce(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outbound tool lists under a policy that blocks drift and stamps what it accepts."""
-    strict = policy.Policy(tools_list_drift_detection="block", tools_list_hash_backend="sha256", inject_fingerprint_meta=True)
     rows = snapshots(spark, sf_dir).withColumn("direction", F.lit("outbound"))
-    out, _ = policy.enforce(rows, strict, spark.createDataFrame([], BASELINES))
-    return out.select("program", "seq", "drift", "action", F.coalesce(F.contains("stamped", F.lit("tidewarden/fingerprint")), F.lit(False)).alias("stamped"))
+    out, _ = policy.enforce(rows, STRICT, spark.createDataFrame([], BASELINES))
+    return enforced(out)
+
+
+@query(_ENFORCE)
+def stream_enforce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as messages arrive, a micro-batch for each turn, against a table of baselines that the stream keeps."""
+    root = new_folder(spark)
+    for turn in range(4):
+        rows = snapshots(spark, sf_dir).where(F.col("seq") % 10 == turn).withColumnRenamed("seq", "number").withColumn("direction", F.lit("outbound"))
+        rows.drop("ts_iso").coalesce(1).write.parquet(f"{root}/in/{turn}")
+    read = spark.readStream.schema(spark.read.parquet(f"{root}/in/0").schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in/*")
+    held = Table(spark, f"{root}/baselines", BASELINES)
+    messages.run(read, lambda: STRICT, f"{root}/out", f"{root}/checkpoint", lambda: BASELINE_ISO, held).awaitTermination()
+    out = spark.read.parquet(f"{root}/out/messages")
+    if out.select("seq").distinct().count() != out.count():
+        raise ValueError("a number was given twice")
+    return enforced(out.drop("seq").withColumnRenamed("number", "seq"))
+
+
+@query(f"SELECT '/srv/' || s_suppkey AS program, CASE c WHEN 0 THEN 'match' WHEN 5 THEN 'error' ELSE 'drift' END AS kind, 2 * count(*) AS snapshots FROM ({_SNAPS}) GROUP BY ALL")
+def drift_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every snapshot twice, all of a program under one number, against baselines of mixed backends: an outcome for each row."""
+    rows = snapshots(spark, sf_dir)
+    first = rows.where(F.col("seq") % 10 == 0)
+    even = F.substring("program", 6, 20).cast("int") % 2 == 0
+    held = manifest.fingerprints(first.where(even), backend="blake3").unionByName(manifest.fingerprints(first.where(~even), backend="sha256", jcs=True))
+    held = held.select("program", F.col("ts_iso").alias("baseline_iso"), F.col("ts_iso").alias("last_seen_iso"), *manifest.FINGERPRINT)
+    out, _ = manifest.observe(rows.union(rows).withColumn("seq", F.lit(7)), held, backend="sha256")
+    return out.groupBy("program", "kind").agg(F.count(F.lit(1)).alias("snapshots"))
+
+
+_REFUSED = "a baseline is pinned and the policy checks requests: lower the policy, clear the baseline or switch the check off"
+
+
+@query(f"""SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'refuse' ELSE 'forward' END AS action,
+  CASE WHEN s_suppkey % 2 = 0 THEN '{{"error":{{"code":-32001,"data":{{"program":"/srv/' || s_suppkey || '","remediation":"{_REFUSED}"}},"message":"tools/list refused by tidewarden: inbound drift gate active"}},"id":"q' || s_suppkey || '","jsonrpc":"2.0"}}' END AS reply FROM supplier""")
+def inbound_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for the tool list, of programs with a baseline and without."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("/srv/"), F.col("s_suppkey").cast("string")).alias("program"))
+    raw = F.concat(F.lit('{"jsonrpc":"2.0","method":"tools/list","id":"q'), F.col("s_suppkey").cast("string"), F.lit('"}'))
+    held = s.where("s_suppkey % 2 = 0").select("program", F.array().cast("array<struct<name:string>>").alias("tools"))
+    gate = policy.Policy(tools_list_drift_detection="block", tools_list_drift_inbound_check=True)
+    return policy.decide(s.withColumns({"raw": raw, "direction": F.lit("inbound")}), gate, held).select("s_suppkey", "action", "reply")
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'tools_changed' WHEN 1 THEN 'prompts_changed' WHEN 2 THEN 'resources_changed' END AS kind FROM events WHERE event_id % 5 < 3")
+def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The notes among streamed messages that say a list has changed."""
+    root, k = new_folder(spark), F.col("event_id") % 5
+    method = F.when(k == 0, "notifications/tools/list_changed").when(k == 1, "notifications/prompts/list_changed").when(k == 2, "notifications/resources/list_changed").when(k == 3, "tools/list").otherwise("notifications/progress")
+    table(spark, sf_dir, "events").select("event_id", F.concat(F.lit('{"jsonrpc":"2.0","method":"'), method, F.lit('"}')).alias("raw")).write.parquet(f"{root}/in")
+    read = spark.readStream.schema(spark.read.parquet(f"{root}/in").schema).parquet(f"{root}/in")
+    sink = messages.changes(read).writeStream.option("checkpointLocation", f"{root}/checkpoint").format("parquet").option("path", f"{root}/out")
+    sink.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("event_id", "kind")
+
+
+@query("SELECT row_number() OVER (ORDER BY conv_id, turn) AS seq, conv_id, turn FROM conversations WHERE (conv_id * 31 + turn) % 3 = 0")
+def audit_appends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of four appends, one of them tried again: its numbers are gapless and in the order of the appends."""
+    c = table(spark, sf_dir, "conversations").where((F.col("conv_id") * 31 + F.col("turn")) % 3 == 0)
+    key = F.concat(F.format_string("%012d", "conv_id"), F.format_string("%06d", "turn"))
+    rows = c.select(key.alias("ts_iso"), F.lit("inbound").alias("direction"), F.array().cast("array<string>").alias("matched_patterns"), F.array().cast("array<string>").alias("cve_refs"), F.ntile(4).over(W.orderBy("conv_id", "turn")).alias("part"))
+    log = Log(spark, f"{new_folder(spark)}/audit", AUDIT)
+    for part in (1, 2, 3, 3, 4):
+        log.append(rows.where(F.col("part") == part), f"part-{part}", "ts_iso")
+    return log.read().select("seq", F.substring("ts_iso", 1, 12).cast("long").alias("conv_id"), F.substring("ts_iso", 13, 6).cast("long").alias("turn"))
 
 
 @query(f"""
@@ -423,6 +502,64 @@ def json_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("event_id", "canonical", F.sha2(F.col("canonical").cast("binary"), 256).alias("digest"))
 
 
+_ORDERED = "'{\"B\":{\"x\":null,\"y\":[1,2]},\"a\":\"xA/é\\n\",\"z\":' || event_id || '}'"
+
+
+@query(f"SELECT event_id, {_ORDERED} AS canonical FROM events")
+def json_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys out of order, escapes and blanks."""
+    raw = F.concat(F.lit('{"z": '), F.col("event_id").cast("string"), F.lit(' , "a":"x\\u0041\\/\\u00e9\\n", "B":{"y":[1, 2],"x":null}}'))
+    return table(spark, sf_dir, "events").select("event_id", jsons.canonical_json(raw).alias("canonical"))
+
+
+@query(r"""SELECT n_nationkey, '{"key":' || n_nationkey || ',"literals":[null,true,false],"numbers":[333333333.3333333,1e+30,4.5,0.002,1e-27],"string":"€$\u000f\nA''B\"\\\\\"/"}' AS jcs FROM nation""")
+def jcs_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample of RFC 8785, with each nation's key."""
+    raw = F.concat(F.lit('{"numbers":[333333333.33333329,1E30,4.50,2e-3,0.000000000000000000000000001],"key":'), F.col("n_nationkey").cast("string"), F.lit(r',"string":"€$\u000F\u000aA' + "'" + r'B\u0022\u005c\\\"\/","literals":[null,true,false]}'))
+    return table(spark, sf_dir, "nation").select("n_nationkey", jsons.jcs_json(raw).alias("jcs"))
+
+
+#: Length of the input whose byte i is i % 251, and the first eight bytes of its hash: fixed values of the public test vectors.
+BLAKE3 = {0: "af1349b9f5f9a1a6", 1: "2d3adedff11b61f1", 63: "e9bc37a594daad83", 64: "4eed7141ea4a5cd4", 65: "de1e5fa0be70df6d", 1023: "10108970eeda3eb9", 1024: "42214739f095a406", 1025: "d00278ae47eb27b3", 2048: "e776b6028c7cd22a", 2049: "5f4d72f40d7a5f82", 3072: "b98cb0ff3623be03", 5120: "9cadc15fed8b5d85", 8192: "aae792484c8efe4f", 31744: "62b6960e1a44bcc1", 102400: "bc3e3d41a1146b06"}
+
+
+@query(f"SELECT * FROM (VALUES {', '.join(f'({n}, {h!r})' for n, h in BLAKE3.items())}) AS v(length, head)")
+def blake3_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = spark.createDataFrame([(n, bytes(i % 251 for i in range(n))) for n in BLAKE3], "length int, data binary")
+    return data.select("length", F.substring(F.lower(F.hex(crypto.blake3_256("data"))), 1, 16).alias("head"))
+
+
+@query(f"SELECT o_orderkey, CAST(date_diff('day', DATE '{rules.FEED_DATE}', CAST(o_orderdate AS DATE)) AS INT) AS age FROM orders")
+def feed_age(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", feed.age_days(F.col("o_orderdate").cast("date")).alias("age"))
+
+
+@query(f"SELECT id, severity FROM {sql.feed_values()}")
+def find_advisory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each advisory found by its id in lower case."""
+    known = feed.feed_df(spark)
+    found = [feed.find(known, r["id"].lower()) for r in rules.feed_rows()]
+    return functools.reduce(DataFrame.unionByName, found).select("id", "severity")
+
+
+@query("SELECT 'server' || s_suppkey AS server_name FROM supplier WHERE s_suppkey <> 3")
+def unpin_server(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pins = table(spark, sf_dir, "supplier").select(F.concat(F.lit("server"), F.col("s_suppkey").cast("string")).alias("server_name"), F.lit("k").alias("key_fingerprint"), F.lit("p").alias("public_key_b64"), F.lit(BASELINE_ISO).alias("pinned_at_iso"))
+    return trust.unpin(pins, "server3").select("server_name")
+
+
+@query(f"SELECT id, 'block' AS verdict, list_contains(string_split(patterns, ','), pattern) AS expected FROM (SELECT id, pattern, patterns FROM ({sql.staged(f'SELECT id, pattern, payload FROM {sql.feed_values()}', 'id, pattern')}))")
+def inspect_attacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inspection tools over JSON-RPC: every advisory simulated by one call."""
+    tools = Inspector(spark, f"{new_folder(spark)}/home")
+    out = []
+    for row in rules.feed_rows():
+        call = {"jsonrpc": "2.0", "id": 1, "method": "tools/call", "params": {"name": "simulate_attack", "arguments": {"cve_id": row["id"].lower()}}}
+        said = json.loads(json.dumps(tools.handle(json.dumps(call))))["result"]["structuredContent"]
+        out.append((row["id"], said["actual_verdict"], row["expected_pattern_id"] in said["matched_patterns"]))
+    return spark.createDataFrame(out, "id string, verdict string, expected boolean")
+
+
 @query()
 def blake3_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.lower(F.hex(crypto.blake3_256(F.col("text").cast("binary")))).alias("blake3"))
@@ -478,7 +615,7 @@ def check_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def line_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages written as line files and read back as a source, then decided."""
-    root = shared(spark)
+    root = f"{new_folder(spark)}/lines"
     envelopes(table(spark, sf_dir, "conversations")).select("raw").write.text(root)
     return policy.decide(lines.read_lines(spark, root, "inbound", "/usr/bin/src1"), POLICY).groupBy("action").agg(F.count(F.lit(1)).alias("messages"))
 

@@ -34,9 +34,13 @@ def payloads(spark: SparkSession, *texts: str) -> DataFrame:
 
 
 def write_forwarded(decided: DataFrame, path: str) -> None:
-    """The lines that go on, in order of arrival within each file."""
-    kept = decided.where(~F.col("action").isin("drop", "block", "refuse"))
-    kept.select(F.coalesce("reply", "raw").alias("value")).write.mode("append").text(path)
+    """The lines that go on, in order of arrival within each file: stamped lists as they were stamped, replaced ones as their reply."""
+    forwarded(decided).write.mode("append").text(path)
+
+
+def forwarded(decided: DataFrame) -> DataFrame:
+    stamped = [F.col("stamped")] if "stamped" in decided.columns else []
+    return decided.where(~F.col("action").isin("drop", "block", "refuse")).select(F.coalesce(*stamped, "reply", "raw").alias("value"))
 
 
 def write_replies(decided: DataFrame, path: str) -> None:

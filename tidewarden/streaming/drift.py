@@ -2,7 +2,8 @@
 
 Within a micro-batch a program's snapshots are taken in order of seq: the first
 readable one becomes the baseline if there is none, the others are compared with
-it. A match moves its last_seen_iso; drift changes nothing.
+it. A match moves its last_seen_iso; drift changes nothing. With `ttl_days` a program's
+state expires that long after its last match.
 """
 
 from __future__ import annotations
@@ -39,11 +40,11 @@ def step(program: str, row: dict[str, Any], base: dict[str, Any] | None, backend
 
 
 class Drift(StatefulProcessor):
-    def __init__(self, backend: str = "blake3", jcs: bool = False):
-        self.backend, self.jcs = backend, jcs
+    def __init__(self, backend: str = "blake3", jcs: bool = False, ttl_days: int | None = None):
+        self.backend, self.jcs, self.ttl = backend, jcs, ttl_days and ttl_days * 86_400_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("baseline", STATE)
+        self.state = handle.getValueState("baseline", STATE, self.ttl)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer: Any) -> Iterator[pd.DataFrame]:
         held = self.state.get()
@@ -54,7 +55,7 @@ class Drift(StatefulProcessor):
         for row in batch.to_dict("records"):
             made, base = step(key[0], row, base, self.backend, self.jcs)
             out.append(made)
-        if base is not None:
+        if any(o["kind"] in ("unknown", "match") for o in out):
             self.state.update((json.dumps(base),))
         yield pd.DataFrame(out, columns=[f.split()[0] for f in OUT.split(", ")])
 
@@ -62,6 +63,6 @@ class Drift(StatefulProcessor):
         pass
 
 
-def outcomes(snapshots: DataFrame, backend: str = "blake3", jcs: bool = False) -> DataFrame:
+def outcomes(snapshots: DataFrame, backend: str = "blake3", jcs: bool = False, ttl_days: int | None = None) -> DataFrame:
     """Outcomes of a stream of snapshots (program, seq, ts_iso, raw); the session needs the RocksDB state store (PROVIDER)."""
-    return snapshots.select("program", "seq", "ts_iso", "raw").groupBy("program").transformWithStateInPandas(Drift(backend, jcs), OUT, "Append", "None")
+    return snapshots.select("program", "seq", "ts_iso", "raw").groupBy("program").transformWithStateInPandas(Drift(backend, jcs, ttl_days), OUT, "Append", "ProcessingTime" if ttl_days else "None")
