@@ -17,6 +17,7 @@ import unicodedata
 from functools import reduce
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -32,9 +33,16 @@ Lists = tuple[list[str | None], list[str | None]]
 
 
 @functools.cache
-def _tools() -> tuple[re.Pattern[str], re.Pattern[str], dict[int, int]]:
-    """What finds escapes and invisible characters, and the look-alikes' table."""
-    return re.compile(text.python_regex(rules.ESCAPES)), re.compile(text.python_regex(rules.INVISIBLE)), str.maketrans(*rules.lookalikes())
+def _tools() -> tuple[re.Pattern[str], re.Pattern[str], np.ndarray]:
+    """What finds escapes and invisible characters, and for each code point the letter it looks like, or itself."""
+    letters = np.arange(0x110000, dtype="<u4")
+    for odd, plain in zip(*rules.lookalikes(), strict=True):
+        letters[ord(odd)] = ord(plain)
+    return re.compile(text.python_regex(rules.ESCAPES)), re.compile(text.python_regex(rules.INVISIBLE)), letters
+
+
+def _rows(raw: pa.Array, pattern: str) -> pa.Array:
+    return pc.indices_nonzero(pc.fill_null(pc.match_substring_regex(raw, pattern), False))
 
 
 def _changed(raw: pa.Array, unicode: bool, confusable: bool) -> Lists:
@@ -43,13 +51,22 @@ def _changed(raw: pa.Array, unicode: bool, confusable: bool) -> Lists:
     skel: list[str | None] = [None] * len(raw)
     escapes, hidden, letters = _tools()
     if unicode or confusable:
-        odd = pc.indices_nonzero(pc.fill_null(pc.match_substring_regex(raw, text.MAY_CHANGE), False))
-        for i, data in zip(odd.to_pylist(), raw.take(odd).cast(pa.binary()).to_pylist(), strict=True):
+        odd = _rows(raw, text.MAY_CHANGE)
+        some = raw.take(odd)
+        # Which of them hold what begins an escape, or an invisible character, is asked of the whole column.
+        escaped, veiled = (set(_rows(some, p).to_pylist()) if unicode else set() for p in ("[\x1b\u0080-\u009f]", rules.INVISIBLE))
+        for k, (i, data) in enumerate(zip(odd.to_pylist(), some.cast(pa.binary()).to_pylist(), strict=True)):
             now = data.decode("utf-8", "replace")
-            if unicode and (plain := unicodedata.normalize("NFKC", hidden.sub("", escapes.sub("", now)))) != now:
-                norm[i] = now = plain
-            if confusable and (plain := now.translate(letters)) != now:
-                skel[i] = plain
+            if unicode:
+                plain = escapes.sub("", now) if k in escaped else now
+                plain = hidden.sub("", plain) if k in veiled or plain is not now else plain
+                if (plain := unicodedata.normalize("NFKC", plain)) != now:
+                    norm[i] = now = plain
+            if confusable:
+                codes = np.frombuffer(now.encode("utf-32-le", "surrogatepass"), "<u4")
+                alike = letters[codes]
+                if not np.array_equal(alike, codes):
+                    skel[i] = alike.tobytes().decode("utf-32-le", "surrogatepass")
     return norm, skel
 
 

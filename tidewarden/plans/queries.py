@@ -22,7 +22,7 @@ from tidewarden.operators.scan import pattern_counts, scan
 from tidewarden.plans import sql
 from tidewarden.sources import lines
 from tidewarden.sources.store import AUDIT, BASELINES, Log, Table
-from tidewarden.sources.work import new_folder
+from tidewarden.sources.work import new_folder, spread
 from tidewarden.streaming import drift, messages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,7 +59,7 @@ _FEED_LIST = "[" + ", ".join(map(sql.quoted, PAYLOADS)) + "]"
 def appended(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """The text with the payload of feed row key % 17 behind it; rows 15 and 16 have none."""
     pick = F.get(F.array(*map(F.lit, PAYLOADS)), (F.col(key) % 17).cast("int"))
-    return df.withColumn("payload", F.concat_ws(" ", "text", pick))
+    return spread(df).withColumn("payload", F.concat_ws(" ", "text", pick))
 
 
 _APPENDED = f"SELECT doc_id, concat_ws(' ', text, ({_FEED_LIST})[doc_id % 17 + 1]) AS payload FROM documents"

@@ -55,7 +55,7 @@ def numbered(df: DataFrame, start: int = 0, column: str = "seq") -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """df dealt over all cores if it comes from fewer files than there are cores; a file's row group is one task however large."""
-    if df.isStreaming:
-        return df
+    if df.isStreaming or "Repartition" in df._jdf.queryExecution().analyzed().toString():
+        return df  # dealt out already
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
