@@ -150,20 +150,6 @@ def test_ids_of_any_type_and_shared_ids(spark):
     assert Counter((r.doc_id, r.component_id, r.kept, r.first) for r in out) == Counter([("b", "a", False, False), ("a", "a", True, True), ("c", "c", True, True), ("c", "a", False, False), (None, "a", False, False), (None, None, True, True)])
 
 
-def test_prefixes_meet_wherever_sets_are_linked(spark):
-    rows = [(k, t) for k, t in near_corpus() if t.strip()]
-    sets = sets_of(dict(rows), 2)
-    docs = spark.createDataFrame(rows, "id long, text string")
-    wanted = minhash.cut(docs.select("id", F.col("id").alias("comp")))
-    for table in (1 << 20, 40):
-        keys = defaultdict(set)
-        for r in minhash.prefixes(docs, wanted, 2, 80, table).collect():
-            keys[r.id].add(r.key)
-        assert all(len(keys[k]) == len(s) - -(-80 * len(s) // 100) + 1 for k, s in sets.items())
-        linked = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
-        assert len(linked) > 50 and all(keys[a] & keys[b] for a, b in linked)
-
-
 def test_long_chain_of_stars(spark):
     rng = np.random.default_rng(4)
     nodes = rng.permutation(300).tolist()

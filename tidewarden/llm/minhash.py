@@ -11,28 +11,23 @@ With 50 bands of 6 a pair at similarity 0.8 shares a band with probability
 2. Representatives meet in buckets of equal bands. A bucket's smallest node is its
    hub. Each member is paired with the hub it shares most bands with, and the
    pair is confirmed on the full sets. Confirmed links give components.
-3. Buckets that still hold more than one component and at most `block` members are
-   compared within one task. Members of larger ones (texts round the same boilerplate, near the
-   threshold without reaching it) meet again by prefix filtering, which loses no
-   pair: of each set only the rarest n - ceil(0.8 n) + 1 shingles are kept, and two
-   sets that are linked share one of those. What they share otherwise is common, so hardly any meet.
-4. Members with a partner in another component whose signature agrees in `loose` of
-   the values (six standard errors below the threshold) go on with their full sets;
-   such pairs are confirmed one by one, but no pair of components that the group has
-   joined already. So a group gives no more links than components, and no pair is
-   passed between tasks. Pairs within a component need no test: they cannot change
-   the result.
-5. Components of the links of both steps, by alternating large and small stars.
+3. Buckets that still hold more than one component are worked through in blocks of
+   `block` members. Members with a partner in another component whose signature
+   agrees in `loose` of the values (six standard errors below the threshold) go on
+   with their full sets; within a block such pairs are confirmed one by one, but no
+   pair of components that the block has joined already. So a block gives no more
+   links than components, and no pair is passed between tasks. Pairs within a
+   component need no test: they cannot change the result.
+4. Components of the links of both steps, by alternating large and small stars.
 
 Hot keys: hubs are dealt out in parts of `part` members, the hub's set going to
 each part; joins back to buckets and classes are equi-joins that adaptive
-execution splits. A shingle that is rare among the members of large buckets, but not rare enough for
-one task, is compared in blocks of `block`. Nothing of the size of the corpus goes to the driver.
+execution splits. Nothing of the size of the corpus goes to the driver.
 
 Defined results: a null text counts as empty; an empty set (no word) is linked
 with nothing; a text shorter than a shingle is one shingle, its whole word
-sequence; ids may be of any type that has an order; id and text make a node of the graph, so texts that share
-an id are linked each on its own; null ids are linked like others, come last in a component, and are
+sequence; ids may be of any type that has an order; unless ids are unique, id and text make a node of the
+graph, so texts that share an id are linked each on its own; null ids are linked like others, come last in a component, and are
 kept where it has no other id; an empty table gives no row; columns other than those named are ignored.
 """
 
@@ -46,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewarden.llm.common import cut, sliced, small, stored, trim
+from tidewarden.llm.common import cut, sliced, small, trim
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xD6E8FEB86659FD93)
@@ -231,7 +226,7 @@ def near(sigs: np.ndarray, sides: np.ndarray, comps: np.ndarray, i: int, cross:
     """The later members of a block that are to be compared with member i.
 
     They are in other components, on the other side where two blocks meet, agree in
-    `loose` of the signature, and the band, if the block is one's, is the first that the two share.
+    `loose` of the signature, and this band is the first that the two share.
     """
     others = np.flatnonzero(comps[i + 1 :] != comps[i]) + i + 1
     if cross:
@@ -241,7 +236,7 @@ def near(sigs: np.ndarray, sides: np.ndarray, comps: np.ndarray, i: int, cross:
     same = sigs[others] == sigs[i]
     close = same.sum(axis=1) >= loose * sigs.shape[1]
     others, same = others[close], same[close]
-    if not len(others) or band < 0:
+    if not len(others):
         return others
     return others[same.reshape(len(others), sigs.shape[1] // per_band, per_band).all(axis=2).argmax(axis=1) == band]
 
@@ -305,56 +300,18 @@ def settle(df: DataFrame, rows: DataFrame, size: int, similarity: int, signed: M
     return cut(dealt.mapInArrow(run, "a long, b long").distinct())
 
 
-def prefixes(df: DataFrame, wanted: DataFrame, size: int, similarity: int, table: int = 1 << 20) -> DataFrame:
-    """key, id, comp: the rarest shingles of the sets of wanted (id, comp), as many as any two linked sets share one of.
-
-    Rarity is the number of wanted sets with the shingle, counted over all of them; counts
-    below the least that `table` shingles at most can reach are taken as alike.
-    """
-    texts = stored(df.join(small(wanted), "id").select("id", "comp", "text"))
-
-    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
-        for batch in sliced(batches, "text", 1 << 20):
-            sets = [shingle_set(t, size, words) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["code"])
-
-    counts = cut(texts.mapInArrow(every, "code long").groupBy("code").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    least = max(2, -(-(counts.agg(F.sum("n")).first()[0] or 0) // table))
-    common = counts.where(F.col("n") >= least).orderBy("code").toArrow()  # `table` rows at most
-    shared_ = df.sparkSession.sparkContext.broadcast((common.column("code").to_numpy().astype(np.int64).view(np.uint64), common.column("n").to_numpy()))
-
-    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
-        codes, many = shared_.value
-        order = np.argsort(codes)
-        codes, many = codes[order], many[order]
-        for batch in sliced(batches, "text", 1 << 20):
-            keys, at = [], []
-            for k, text in enumerate(batch.column("text").to_pylist()):
-                own = shingle_set(text, size, words)
-                seen = np.zeros(len(own), np.int64)
-                if len(codes):
-                    place = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
-                    seen = np.where(codes[place] == own, many[place], 0)
-                keep = len(own) - -(-similarity * len(own) // 100) + 1
-                keys.append(own[np.lexsort((own, seen))[:keep]])
-                at += [k] * len(keys[-1])
-            rows = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), batch.column("id").take(rows), batch.column("comp").take(rows)], ["key", "id", "comp"])
-
-    return texts.mapInArrow(rarest, "key long, id long, comp long")
-
-
 def node(id_col: str, text_col: str) -> Column:
     """The hash of id and text that stands for a document."""
     return F.xxhash64(F.lit(5), F.col(id_col).isNull(), F.col(id_col), F.col(text_col))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: int = 80, bands: int = 50, per_band: int = 6, loose: float = 0.66, part: int = 128, block: int = 256) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: int = 80, bands: int = 50, per_band: int = 6, loose: float = 0.66, part: int = 128, block: int = 1024) -> DataFrame:
     """id, n_shingles, component_id, kept (the id is the component's), node (hash of id and text), first (the node is the component's first); similarity in hundredths."""
     docs = df.select(node(id_col, text_col).alias("id"), F.col(id_col).alias("own"), F.col(text_col).alias("text"))
-    made = cut(features(docs, shingle, bands * per_band // 2)).withColumn("row", F.monotonically_increasing_id())
+    made = cut(features(docs, shingle, bands * per_band // 2)).withColumns({"row": F.monotonically_increasing_id(), "node": F.col("id")})
+    if df.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long") and made.groupBy("own").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR own IS NULL").isEmpty():
+        # Whole ids that are unique are nodes themselves: the hub of a bucket is then its first document, which the others most often come from.
+        made, docs = (x.withColumn("id", F.col("own").cast("long")) for x in (made, docs))
     docs = docs.drop("own")
     real = made.where("n > 0")
     least_own = F.min(F.struct(F.col("own").isNull().alias("none"), "own", "id"))
@@ -367,25 +324,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = cut(banded.join(shared, "key").select("key", F.col("band").cast("byte").alias("band"), "id", "hub"))
 
     votes = members.where("id > hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("n"))
-    best = votes.groupBy("id").agg(F.max_by("hub", F.struct("n", F.xxhash64("hub"))).alias("hub"))
+    best = votes.groupBy("id").agg(F.max_by("hub", F.struct("n", F.bitwise_not("hub"))).alias("hub"))
     stars = cut(best.select(F.col("hub").alias("a"), F.col("id").alias("b")))
     first = components(confirm(docs, stars, shingle, similarity, part))
 
     seen = members.join(first.withColumnRenamed("node", "id"), "id", "left").select("key", F.col("band").cast("int").alias("band"), "id", F.coalesce("comp", "id").alias("comp"))
 
-    def mixed(rows: DataFrame) -> DataFrame:
-        """The rows whose key holds several components, with the number of blocks that its members fill."""
-        keys = rows.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-        return rows.join(keys.where("c1 < c2").select("key", "blocks"), "key")
-
-    rest = cut(mixed(seen))
-    small_ones = rest.where("blocks = 1").select("key", "band", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("side"), "comp", "id")
-    wide = cut(rest.where("blocks > 1").select("id", "comp").distinct())
-    if not wide.isEmpty():
-        again = mixed(prefixes(docs, wide, shingle, similarity)).withColumns({"band": F.lit(-1), "side": F.pmod(F.xxhash64(F.lit(11), "id"), F.col("blocks")).cast("int")})
-        again = again.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        small_ones = small_ones.unionByName(again.select("key", "band", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "comp", "id"))
-    open_ = cut(candidates(small_ones.join(reps, "id"), per_band, loose))
+    mixed = seen.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).where("c1 < c2").select("key", "blocks")
+    rest = seen.join(mixed, "key").join(reps, "id")
+    side = F.pmod(F.xxhash64(F.lit(11), "id"), F.col("blocks")).cast("int")
+    rest = rest.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.withColumns({"x": F.least("side", "other"), "y": F.greatest("side", "other")})
+    open_ = cut(candidates(rest, per_band, loose))
     more = settle(docs, open_, shingle, similarity, MinMax(bands * per_band // 2), per_band, loose)
 
     # Links of the second step join components of the first.
@@ -402,5 +352,5 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     component = F.when(F.col("n") > 0, F.col("root.own")).otherwise(F.col("own"))
     return out.select(
         F.col("own").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("own") == component, component.isNull()).alias("kept"),
-        F.col("id").alias("node"), ((F.col("n") == 0) | (F.col("id") == F.col("root.id"))).alias("first"),
+        "node", ((F.col("n") == 0) | (F.col("id") == F.col("root.id"))).alias("first"),
     )
