@@ -228,6 +228,47 @@ def test_filter_has_no_false_negatives_and_many_languages():
     assert f.false_rate().max() < 0.01
 
 
+def test_predictions_by_plain_sets(spark, tiny):
+    """The filter's answers against sets of n-grams: all that a language knows is found, and the measured rate of the rest is the one that is taken off."""
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    model = langid.fit(docs.where(~langid.held_out()))
+    texts = [r.text or "" for r in docs.collect()]
+    every = np.unique(np.concatenate([code for code, _ in langid.grams(texts)]))
+    masks = None
+    for at in model.places(every, len(model.slots)):
+        masks = model.slots[at] if masks is None else masks & model.slots[at]
+    rng = np.random.default_rng(3)
+    strange = rng.integers(0, 1 << 63, 200_000).astype(np.uint64)
+    odd = None
+    for at in model.places(strange, len(model.slots)):
+        odd = model.slots[at] if odd is None else odd & model.slots[at]
+    known = []
+    for i in range(len(model.langs)):
+        bit = np.uint64(1) << np.uint64(i)
+        known.append(set(every[(masks[:, 0] & bit) > 0].tolist()))
+        assert abs(float(((odd[:, 0] & bit) > 0).mean()) - model.false_rate()[i]) < 0.002
+    names, scores = model.predict(texts)
+    rate = model.false_rate()
+    for text, name, score in zip(texts, names, scores, strict=True):
+        own = [c for code, _ in langid.grams([text]) for c in code.tolist()]
+        real = [max(0.0, (sum(c in k for c in own) - len(own) * r) / (1 - r)) for k, r in zip(known, rate, strict=True)]
+        if not own:
+            assert (name, score) == ("und", 0.0)
+        elif sum(real):
+            assert name == model.langs[int(np.argmax(real))] and abs(score - max(real) / sum(real)) < 1e-9
+
+
+def test_long_texts_are_read_in_pieces():
+    texts = ["Ein Wort, noch1ein_Wort und ein weiteres " * 30, "", "x" * 500, "kurz " * 3]
+    whole = [sorted(c for code, owner in langid.grams(texts) for c, o in zip(code.tolist(), owner.tolist(), strict=True) if o == k) for k in range(len(texts))]
+    found = [[] for _ in texts]
+    for owners, pieces in langid.chunks(texts, 100):
+        for code, owner in langid.grams(pieces):
+            for c, o in zip(code.tolist(), owners[owner].tolist(), strict=True):
+                found[o].append(c)
+    assert [sorted(f) for f in found] == whole
+
+
 def test_grams_stop_at_words_and_texts():
     (three, owner), (four, _) = langid.grams(["ab c", "ab"])
     # " ab", "ab ", " c " and " ab", "ab "

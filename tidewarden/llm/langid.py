@@ -11,7 +11,8 @@ rate they have in the language where they are most usual.
 
 Fitting reads a bounded sample: about `sample_docs` documents of each language,
 chosen by a hash of the id, whole texts. What reaches the driver is at most
-1 / min_rate n-grams for each n and language. Prediction covers every document,
+1 / min_rate n-grams for each n and language. Texts of any length are read in pieces of
+bounded size. Prediction covers every document,
 row by row, without a shuffle.
 
 Defined results: `und` with score 0 for a null text or one without a letter;
@@ -23,6 +24,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -82,6 +84,31 @@ def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield code, owner[at + 1]
 
 
+#: Where a text may be cut: no n-gram goes on over what is no letter.
+_GAP = re.compile(r"[\W\d_]")
+
+
+def chunks(texts: list[str], most: int = 1 << 18) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """Numbers of texts and pieces of them, about `most` characters together; long texts are cut behind a gap, which changes no n-gram."""
+    owners, pieces, held = [], [], 0
+    for k, text in enumerate(texts):
+        at = 0
+        while at < len(text):
+            end = at + most - held
+            if end < len(text):
+                gap = _GAP.search(text, end)
+                end = gap.end() if gap else len(text)
+            owners.append(k)
+            pieces.append(text[at:end])
+            held += len(pieces[-1])
+            at = end
+            if held >= most:
+                yield np.array(owners), pieces
+                owners, pieces, held = [], [], 0
+    if pieces:
+        yield np.array(owners), pieces
+
+
 @dataclass
 class Filter:
     """The bit-sliced filter: `slots` has one mask per slot, as many 64 bit words wide as the languages need."""
@@ -111,7 +138,7 @@ class Filter:
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         docs = [t or "" for t in texts]
         hits, total = np.zeros((len(docs), len(self.langs))), np.zeros(len(docs))
-        for code, owner in grams(docs):
+        for code, owner in ((code, owners[owner]) for owners, pieces in chunks(docs) for code, owner in grams(pieces)):
             masks = None
             for at in self.places(code, len(self.slots)):
                 got = self.slots[at]
@@ -152,13 +179,13 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     sample = rows.where(F.col("t").isNotNull() & (place < F.element_at(share, F.col("lang")))).select("t", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "t", 4 << 20):
             by: dict[str, list[str]] = {}
             for text, lang in zip(batch.column("t").to_pylist(), batch.column("lang").to_pylist(), strict=True):
                 by.setdefault(lang, []).append(text)
             for lang, texts in by.items():
-                for at in range(0, len(texts), 500):
-                    for n, (code, _) in zip(ORDERS, grams(texts[at : at + 500]), strict=False):
+                for _, pieces in chunks(texts):
+                    for n, (code, _) in zip(ORDERS, grams(pieces), strict=False):
                         got, many = np.unique(code, return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(got)), pa.array(np.full(len(got), n, np.int32)), pa.array(got.view(np.int64)), pa.array(many)], ["lang", "n", "code", "seen"])
 

@@ -125,7 +125,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     known = docs.alias("d").join(goals.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source")), "left").select("d.*", "g.source_size", "g.docs", "g.target")
     known = known.withColumn("sure", F.floor(ratio + EPS)).withColumn("chance", F.greatest(F.lit(0.0), ratio - F.col("sure")))
-    known = known.withColumns({"place": F.abs(F.xxhash64(F.lit(5), "id", "crc")), "blocks": F.ceil(F.col("docs") / block)})
+    known = known.withColumns({"place": F.xxhash64(F.lit(5), "id", "crc"), "blocks": F.ceil(F.col("docs") / block)})
     schema = known.schema
 
     def flight(last: bool):
