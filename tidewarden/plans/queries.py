@@ -127,6 +127,13 @@ def scan_full_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(scan(df, "payload"), "doc_id")
 
 
+@query(sql.staged(f"SELECT id, payload FROM {sql.feed_values()}", "id"))
+def scan_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads given one by one, each a source of its own."""
+    each = (lines.payloads(spark, r["simulate_payload"]).withColumn("id", F.lit(r["id"])) for r in rules.feed_rows())
+    return flat(scan(functools.reduce(DataFrame.unionByName, each), "text"), "id")
+
+
 @query(f"SELECT id, list_contains(hits, pattern) AS pattern_ok, list_contains(string_split(refs, ','), id) AS advisory_ok FROM (SELECT id, pattern, string_split(patterns, ',') AS hits, refs FROM ({sql.staged(f'SELECT id, pattern, payload FROM {sql.feed_values()}', 'id, pattern')}))")
 def simulate_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed.simulate(spark).select("id", "pattern_ok", "advisory_ok")
@@ -154,22 +161,27 @@ def envelopes(df: DataFrame) -> DataFrame:
 # In arguments a control character is an escape again, a quote has a backslash; outbound the line is scanned as it was sent.
 _JSON_TEXT = "replace(replace(replace(replace(replace(replace(payload, '\\', '\\\\'), '\"', '\\\"'), chr(27), '\\u001b'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t')"
 _SENT_TEXT = _JSON_TEXT.replace("'\\u001b'", "'\\u001B'")
-_CALLS = f"""SELECT conv_id, turn, k, role, CASE WHEN k % 5 = 0 THEN 'outbound' ELSE 'inbound' END AS direction, 'src' || (conv_id % 7) AS server,
-  CASE WHEN k % 29 = 0 THEN '' WHEN k % 29 = 1 THEN '{{"broken":' WHEN k % 5 = 0 THEN '{{"jsonrpc":"2.0","id":' || k || ',"method":"tools/call","params":{{"name":"' || role || '","arguments":{{"text":"' || {_SENT_TEXT} || '"}}}}}}'
+def _decided(outbound: str = "k % 5 = 0", server: str = "'src' || (conv_id % 7)") -> str:
+    """What is decided on the envelopes, by which of them go out and whose they are."""
+    calls = f"""SELECT conv_id, turn, k, role, CASE WHEN {outbound} THEN 'outbound' ELSE 'inbound' END AS direction, {server} AS server,
+  CASE WHEN k % 29 = 0 THEN '' WHEN k % 29 = 1 THEN '{{"broken":' WHEN {outbound} THEN '{{"jsonrpc":"2.0","id":' || k || ',"method":"tools/call","params":{{"name":"' || role || '","arguments":{{"text":"' || {_SENT_TEXT} || '"}}}}}}'
     ELSE role || chr(10) || '{{"text":"' || {_JSON_TEXT} || '"}}' END AS scanned
 FROM (SELECT *, concat_ws(' ', text, ({_FEED_LIST})[k % 23 + 1]) AS payload FROM (SELECT *, conv_id * 31 + turn AS k FROM conversations))"""
-_TOOL_OK = "CASE role WHEN 'assistant' THEN len(list_filter(hits, lambda x: x NOT IN ('shell_substitution', 'fullwidth_evasion'))) = 0 WHEN 'user' THEN len(list_filter(hits, lambda x: x <> 'localhost_callback')) = 0 ELSE false END"
-_DECIDE = f"""
-WITH d AS ({sql.staged(_CALLS, 'conv_id, turn, k, role, direction, server', 'scanned')}),
+    tool_ok = "CASE role WHEN 'assistant' THEN len(list_filter(hits, lambda x: x NOT IN ('shell_substitution', 'fullwidth_evasion'))) = 0 WHEN 'user' THEN len(list_filter(hits, lambda x: x <> 'localhost_callback')) = 0 ELSE false END"
+    return f"""
+WITH d AS ({sql.staged(calls, 'conv_id, turn, k, role, direction, server', 'scanned')}),
 e AS (SELECT *, CASE WHEN patterns = '' THEN CAST([] AS VARCHAR[]) ELSE string_split(patterns, ',') END AS hits FROM d),
 f AS (SELECT *, len(hits) > 0 AND len(list_filter(hits, lambda x: x <> 'html_script_inject')) = 0 AS free FROM e),
-g AS (SELECT *, len(hits) > 0 AND NOT free AND NOT (direction = 'inbound' AND {_TOOL_OK}) AND server <> 'src3' AND NOT (direction = 'inbound' AND k % 29 IN (0, 1)) AS hit FROM f)
+g AS (SELECT *, len(hits) > 0 AND NOT free AND NOT (direction = 'inbound' AND {tool_ok}) AND server <> 'src3' AND NOT (direction = 'inbound' AND k % 29 IN (0, 1)) AS hit FROM f)
 SELECT conv_id, turn, CASE WHEN direction = 'inbound' AND k % 29 = 0 THEN 'drop' WHEN direction = 'inbound' AND k % 29 = 1 THEN 'forward_unparsed' WHEN server = 'src3' THEN 'forward_trusted'
   WHEN direction = 'inbound' AND hit THEN 'block' ELSE 'forward' END AS action, hit AS recorded,
   CASE WHEN direction = 'inbound' AND hit THEN '{{"error":{{"code":-32603,"data":{{"cve_refs":["' || replace(refs, ',', '","') || '"],"matched_patterns":["' || replace(patterns, ',', '","') || '"]}},"message":"blocked by tidewarden"}},"id":' || k || ',"jsonrpc":"2.0"}}' END AS reply
 FROM g"""
 
 
+_DECIDE = _decided()
+
+
 @query(_DECIDE)
 def policy_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.decide(envelopes(table(spark, sf_dir, "conversations")), POLICY).select("conv_id", "turn", "action", "recorded", "reply")
@@ -185,6 +197,34 @@ def stream_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{root}/out/messages").select("conv_id", "turn", "action", "recorded", "reply")
 
 
+POLICY_TOML = """
+version = "1"
+fail_mode = "closed"
+scan_unicode = true
+unknown_key = 1
+allow_patterns = ["html_script_inject"]
+allow_servers = ["src3", "trusted-server"]
+
+[allow_patterns_per_tool]
+assistant = ["shell_substitution", "fullwidth_evasion"]
+user = ["localhost_callback"]
+"""
+
+
+@query(_DECIDE)
+def policy_toml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same decisions under the policy as its file says it."""
+    return policy.decide(envelopes(table(spark, sf_dir, "conversations")), policy.Policy.parse(POLICY_TOML)).select("conv_id", "turn", "action", "recorded", "reply")
+
+
+@query(f"SELECT reply AS line FROM ({_DECIDE}) WHERE reply IS NOT NULL")
+def reply_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The replies to the senders, written as line files and read back."""
+    root = f"{new_folder(spark)}/replies"
+    lines.write_replies(policy.decide(envelopes(table(spark, sf_dir, "conversations")), POLICY), root)
+    return spark.read.text(root).select(F.col("value").alias("line"))
+
+
 @query("""SELECT DISTINCT key FROM (SELECT CASE user_id % 9 WHEN 0 THEN 'LD_PRELOAD' WHEN 1 THEN 'ld_preload' WHEN 2 THEN 'PATH' WHEN 3 THEN 'Node_Options' WHEN 4 THEN 'HOME' WHEN 5 THEN 'PYTHONPATH' WHEN 6 THEN 'LD_PRELOADX' ELSE event_type END AS key FROM events)
 WHERE upper(key) IN ('LD_PRELOAD', 'LD_LIBRARY_PATH', 'DYLD_INSERT_LIBRARIES', 'DYLD_LIBRARY_PATH', 'NODE_OPTIONS', 'PYTHONPATH', 'JAVA_TOOL_OPTIONS')""")
 def env_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,6 +343,16 @@ def fingerprint_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.fingerprints(part_manifests(spark, sf_dir), backend="sha256").select("program", "tools_count", "aggregate_hash")
 
 
+@query(f"""
+WITH t AS ({_TOOLS}), l AS (SELECT program, count(*) AS n, string_agg(name || chr(0) || dh || chr(0) || array_to_string(list_transform(params, lambda p: p || ','), '') || chr(0) || rh || chr(10), '' ORDER BY encode(name)) AS body FROM t GROUP BY program)
+SELECT CAST(n AS INT) AS tools_count, 'sha256:' || substr(sha256(encode('/srv/file') || unhex(printf('%02X', n % 256) || printf('%02X', n // 256) || '000000000000') || encode(body)), 1, 32) AS aggregate_hash FROM l""")
+def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifests written to a file each and read back whole."""
+    root = f"{new_folder(spark)}/manifests"
+    part_manifests(spark, sf_dir).repartition("program").write.partitionBy("program").text(root)
+    return manifest.fingerprints(lines.read_manifests(spark, f"{root}/*", "/srv/file"), backend="sha256").select("tools_count", "aggregate_hash")
+
+
 @query()
 def fingerprint_blake3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.fingerprints(part_manifests(spark, sf_dir), backend="blake3", jcs=True).select("program", "tools_count", "aggregate_hash")
@@ -357,6 +407,17 @@ def drift_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return after.select("program", "baseline_iso", "last_seen_iso", "tools_count")
 
 
+@query(f"SELECT '/srv/' || s_suppkey AS program, CASE WHEN s_suppkey % 2 = 0 THEN 9 ELSE 2 END AS tools_count, CASE WHEN s_suppkey % 2 = 0 THEN '2025-01-01T00:00:00Z' ELSE '2024-01-0' || (1 + max(CASE WHEN c = 0 THEN turn ELSE 0 END)) || 'T00:00:00Z' END AS last_seen_iso FROM ({_SNAPS}) WHERE s_suppkey <> 7 GROUP BY s_suppkey")
+def baseline_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Baselines written to their table, one forgotten and half of them merged with later ones under its lock, and read again."""
+    held = Table(spark, f"{new_folder(spark)}/baselines", BASELINES)
+    held.write(manifest.observe(snapshots(spark, sf_dir), backend="sha256")[1])
+    held.update(lambda now: manifest.forget(now, "/srv/7"))
+    later = held.read().where(F.substring("program", 6, 20).cast("int") % 2 == 0).withColumns({"tools_count": F.lit(9), "last_seen_iso": F.lit("2025-01-01T00:00:00Z")})
+    held.update(lambda now: manifest.merge(later, now))
+    return held.read().select("program", "tools_count", "last_seen_iso")
+
+
 # The plain list's fingerprint is every program's baseline.
 _PLAIN = "SELECT 'tool_' || i AS name, 'sha256:' || substr(sha256('does ' || i), 1, 32) AS dh, 'sha256:' || substr(sha256('q,'), 1, 32) AS rh FROM (VALUES (1), (2)) AS v(i)"
 _BASE = f"SELECT s_suppkey, 'sha256:' || substr(sha256(encode('/srv/' || s_suppkey) || unhex('0200000000000000') || encode(body)), 1, 32) AS aggregate_hash FROM supplier, (SELECT string_agg(name || chr(0) || dh || chr(0) || 'q,' || chr(0) || rh || chr(10), '' ORDER BY name) AS body FROM ({_PLAIN}))"
@@ -560,6 +621,79 @@ def inspect_attacks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(out, "id string, verdict string, expected boolean")
 
 
+def asked(tools: Inspector, name: str, **arguments) -> dict:
+    """What a tool answers over JSON-RPC; an error is its text."""
+    said = json.loads(json.dumps(tools.handle(json.dumps({"jsonrpc": "2.0", "id": 1, "method": "tools/call", "params": {"name": name, "arguments": arguments}}))))["result"]
+    return {"error": said["content"][0]["text"]} if said["isError"] else said["structuredContent"]
+
+
+@query(f"SELECT row_number() OVER (ORDER BY pos) AS seq, patterns FROM ({sql.staged(f'SELECT pos, payload FROM {sql.feed_values()}', 'pos')}) WHERE verdict = 'block'")
+def inspect_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every advisory's payload scanned by a tool, and the log that another one reads."""
+    tools = Inspector(spark, f"{new_folder(spark)}/home")
+    for payload in [*PAYLOADS, "nothing to see"]:
+        asked(tools, "scan_payload", payload=payload, direction="inbound")
+    held = asked(tools, "list_blocked")
+    return spark.createDataFrame([(r["seq"], ",".join(r["matched_patterns"])) for r in held["blocked_calls"]], "seq long, patterns string")
+
+
+_ASKED = (("MCP-Inspector", None), ("MCP-Inspector", "0.1.0"), ("MCP-Inspector", "99.0.0"), ("unknown", None))
+
+
+@query(f"""
+WITH w AS (SELECT name, version, CASE WHEN version IS NOT NULL THEN list_transform(string_split(version, '.'), lambda y: CAST(y AS INT)) END AS ver FROM (VALUES {', '.join(f"({sql.quoted(n)}, {sql.quoted(v)})" for n, v in _ASKED)}) AS v(name, version)),
+f AS (SELECT *, CASE WHEN affected_versions IS NOT NULL THEN list_transform(string_split(substr(affected_versions, 2), '.'), lambda y: CAST(y AS INT)) END AS top FROM {sql.feed_values()})
+SELECT name, version, id FROM w JOIN f ON contains(lower(fixed_in), lower(name)) AND (ver IS NULL OR top IS NULL OR ver < top)""")
+def inspect_servers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Advisories of servers, by name and version, as a tool tells them."""
+    tools = Inspector(spark, f"{new_folder(spark)}/home")
+    found = [(n, v, r["id"]) for n, v in _ASKED for r in asked(tools, "check_cve", server_name=n, **({"server_version": v} if v else {}))["affected_cves"]]
+    return spark.createDataFrame(found, "name string, version string, id string")
+
+
+@query("""SELECT 'pin' AS kind, 'server' || n_nationkey AS name, 'k' || (n_nationkey % 3) AS said FROM nation WHERE n_nationkey <> 3
+UNION ALL SELECT 'baseline', n_name, CAST(n_nationkey AS VARCHAR) FROM nation UNION ALL SELECT 'detail', min(n_name), '0' FROM nation UNION ALL SELECT 'detail', 'none', 'absent'""")
+def inspect_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pinned keys and manifests, as the tools tell them."""
+    nations, tools = table(spark, sf_dir, "nation"), Inspector(spark, f"{new_folder(spark)}/home")
+    key = F.col("n_nationkey")
+    tools.pins.write(nations.select(F.concat(F.lit("server"), key.cast("string")).alias("server_name"), F.concat(F.lit("k"), (key % 3).cast("string")).alias("key_fingerprint"), F.lit("p").alias("public_key_b64"), F.lit(BASELINE_ISO).alias("pinned_at_iso")))
+    tools.pins.update(lambda now: trust.unpin(now, "server3"))
+    empty = {f.name: F.lit(None).cast(f.dataType) for f in tools.baselines.read().schema}
+    tools.baselines.write(nations.select(*(c.alias(n) for n, c in (empty | {"program": F.col("n_name"), "tools_count": key, "aggregate_hash": F.lit("sha256:0")}).items())))
+    out = [("pin", r["server_name"], r["key_fingerprint"]) for r in asked(tools, "get_keystore")["pinned_entries"]]
+    programs = asked(tools, "get_drift_history")["programs"]
+    out += [("baseline", r["program"], str(r["tools_count"])) for r in programs]
+    for program in (min(r["program"] for r in programs), "none"):
+        one = asked(tools, "get_drift_history", program=program)
+        out.append(("detail", one["program"], str(one.get("tools_count", "absent"))))
+    return spark.createDataFrame(out, "kind string, name string, said string")
+
+
+@query("""SELECT * FROM (VALUES ('verify_manifest', 'signed', 'true'), ('verify_manifest', 'altered', 'false'), ('verify_manifest', 'bad key', 'error'), ('verify_bundle', 'no log', 'false'), ('verify_bundle', 'no JSON', 'error'),
+('rekor_lookup', 'known', 'u1'), ('rekor_lookup', 'unknown', ''), ('get_policy', 'fail_mode', 'closed'), ('simulate_attack', 'unknown', 'error'), ('no_tool', 'unknown', 'error')) AS v(tool, given, said)""")
+def inspect_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signatures, bundles, log and policy, as the tools tell them."""
+    said, other = {"result": {"tools": []}, "server": "s"}, {"result": {"tools": [1]}, "server": "s"}
+    key, mark = (base64.b64encode(b).decode() for b in crypto.ed25519_sign(bytes([7]) * 32, jsons.canonical(said).encode()))
+    known = trust.artifact_hash(spark.createDataFrame([(json.dumps(said),)], "raw string")).select("artifact_sha256", F.lit("u1").alias("uuid"))
+    tools = Inspector(spark, f"{new_folder(spark)}/home", POLICY, known)
+    verify = functools.partial(asked, tools, "verify_manifest", signature_b64=mark)
+    out = [
+        ("verify_manifest", "signed", verify(tools_list_response=said, public_key_b64=key).get("valid")),
+        ("verify_manifest", "altered", verify(tools_list_response=other, public_key_b64=key).get("valid")),
+        ("verify_manifest", "bad key", "error" if "error" in verify(tools_list_response=said, public_key_b64="AAAA") else ""),
+        ("verify_bundle", "no log", asked(tools, "verify_bundle", bundle_json='{"base64Signature":"c2ln"}').get("shape_only_ok")),
+        ("verify_bundle", "no JSON", "error" if "error" in asked(tools, "verify_bundle", bundle_json="{") else ""),
+        ("rekor_lookup", "known", ",".join(r["uuid"] for r in asked(tools, "rekor_lookup", tools_list_response=said)["entries"])),
+        ("rekor_lookup", "unknown", ",".join(r["uuid"] for r in asked(tools, "rekor_lookup", tools_list_response=other)["entries"])),
+        ("get_policy", "fail_mode", asked(tools, "get_policy")["fail_mode"]),
+        ("simulate_attack", "unknown", "error" if "error" in asked(tools, "simulate_attack", cve_id="none") else ""),
+        ("no_tool", "unknown", "error" if "error" in asked(tools, "no_tool") else ""),
+    ]
+    return spark.createDataFrame([(t, g, str(v).lower() if isinstance(v, bool) else v) for t, g, v in out], "tool string, given string, said string")
+
+
 @query()
 def blake3_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.lower(F.hex(crypto.blake3_256(F.col("text").cast("binary")))).alias("blake3"))
@@ -612,7 +746,7 @@ def check_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("n_nationkey", "bundle_parsed", F.coalesce("shape_only_ok", F.lit(False)).alias("shape_only_ok"), F.col("log_index").cast("string").alias("log_index"))
 
 
-@query()
+@query("SELECT action, count(*) AS messages FROM (" + _decided("false", "'src1'") + ") GROUP BY action")
 def line_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages written as line files and read back as a source, then decided."""
     root = f"{new_folder(spark)}/lines"
@@ -620,8 +754,6 @@ def line_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.decide(lines.read_lines(spark, root, "inbound", "/usr/bin/src1"), POLICY).groupBy("action").agg(F.count(F.lit(1)).alias("messages"))
 
 
-
-
 # ------------------------------------------------------------------ scalar functions
 
 
