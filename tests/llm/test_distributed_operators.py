@@ -215,6 +215,29 @@ def test_mix_reaches_targets(spark, block, slack):
     assert out.sort_values("doc_id").times.tolist() == again.sort_values("doc_id").times.tolist()
 
 
+def test_mix_deals_out_hot_rows(spark):
+    """A third of all rows are one row: its copies are dealt out like others, whatever the order of the input."""
+    rows = [(7, "x y z", "a")] * 700 + [(100 + k, " ".join(["w"] * (1 + k % 50)), "ab"[k % 2]) for k in range(1400)]
+    rows += [(None, None, None)] * 100
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs = df.select(F.col("doc_id").alias("id"), "source", mixing.words("text").alias("size"), F.lit(0).cast("long").alias("crc"))
+    docs = mixing.cut(docs.withColumn("place", F.xxhash64("id", "crc")))
+    told = mixing.apart(docs, 64)
+    assert told.columns == docs.columns
+    key = lambda rows: Counter((r.id, r.source, r["size"], r.crc) for r in rows)
+    assert key(told.collect()) == key(docs.collect())
+    assert told.select("place").distinct().count() == len(rows)
+    sizes = defaultdict(int)
+    for _, text, source in rows:
+        sizes["~null" if source is None else source] += len(WORDS.findall(text or ""))
+    made = mixing.mix(df, block=64).toPandas()
+    made["taken"] = made.times * made["size"]
+    assert len(made) == len(rows)
+    check_mix(made, sizes, brute_targets(sizes, ["a", "b", "~null"]), 0.02)
+    again = mixing.mix(df.repartition(5), block=64).toPandas()
+    assert Counter(zip(made.doc_id.fillna(-1), made.times)) == Counter(zip(again.doc_id.fillna(-1), again.times))
+
+
 def test_flight_keeps_totals_and_probabilities():
     size = np.array([5, 9, 9, 2, 7, 1, 30, 4, 4, 12], float)
     chance = np.full(10, 0.3)

@@ -12,8 +12,9 @@ first block of each source waits for that last flight. The landing then rounds
 its last two or so documents to the nearest token total and makes up for the
 rest by a few exchanges within the block.
 
-Blocks are dealt out by a hash of the document's id, about `block` documents
-each, whatever the source's size; texts are not moved. Every decision is drawn
+Blocks are dealt out by a hash of the document's id and text, about `block` documents
+each, whatever the source's size; rows that more than a block agree in are told apart by
+number, so they are dealt out like others. Texts are not moved. Every decision is drawn
 from a generator seeded by the block's name, so reruns agree.
 
 Defined results: null texts have size 0 and are balanced as documents; a null
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewarden.llm.common import WORD, cut, text_or_empty
+from tidewarden.llm.common import WORD, cut, small, text_or_empty
 
 EPS = 1e-9
 
@@ -117,15 +118,33 @@ def land(size: np.ndarray, chance: np.ndarray, swaps: int = 4) -> np.ndarray:
     return out
 
 
+def apart(docs: DataFrame, most: int) -> DataFrame:
+    """docs (cut), where rows that share their place with more than `most` others get places of their own.
+
+    Such rows are counted, with map-side partials, and made again from their counts in parts of `most`,
+    so no task gets all of them and their places do not hang on the order of the input.
+    """
+    crowds = cut(docs.groupBy("place").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("place"))
+    if crowds.isEmpty():
+        return docs
+    crowds = small(crowds)
+    counted = docs.join(crowds, "place", "left_semi").groupBy(*docs.columns).agg(F.count(F.lit(1)).alias("n"))
+    parts = counted.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(most).cast("long")))).repartition("place", "first")
+    each = parts.withColumn("number", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + most, F.col("n")) - 1)))
+    others = docs.join(crowds, "place", "left_anti")
+    return others.unionByName(each.withColumn("place", F.xxhash64("place", "number")).select(*others.columns)).select(*docs.columns)
+
+
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = 1024) -> DataFrame:
     """id, source, size, source_size, target, times (how often the mix takes the document), text_crc32."""
-    docs = cut(df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words(text_col).alias("size"), F.crc32(text_or_empty(text_col).cast("binary")).alias("crc")))
+    docs = df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words(text_col).alias("size"), F.crc32(text_or_empty(text_col).cast("binary")).alias("crc"))
+    docs = apart(cut(docs.withColumn("place", F.xxhash64(F.lit(5), "id", "crc"))), block)
     goals = cut(targets(docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs")), weights, share, most))
     largest = goals.agg(F.max("docs")).first()[0] or 0
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     known = docs.alias("d").join(goals.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source")), "left").select("d.*", "g.source_size", "g.docs", "g.target")
     known = known.withColumn("sure", F.floor(ratio + EPS)).withColumn("chance", F.greatest(F.lit(0.0), ratio - F.col("sure")))
-    known = known.withColumns({"place": F.xxhash64(F.lit(5), "id", "crc"), "blocks": F.ceil(F.col("docs") / block)})
+    known = known.withColumn("blocks", F.ceil(F.col("docs") / block))
     schema = known.schema
 
     def flight(last: bool):
