@@ -155,6 +155,11 @@ def test_utc_text(spark, seconds, want):
     assert spark.range(1).select(text.utc_text(F.lit(seconds))).first()[0] == want
 
 
+def test_utc_text_of_long_years(spark):
+    df = spark.createDataFrame([(780000000000,), (253402300799,), (253402300800,), (-78000000000,), (None,)], "s long")
+    assert [r[0] for r in df.select(text.utc_text(F.col("s"))).collect()] == ["26687-03-20T18:40:00Z", "9999-12-31T23:59:59Z", "10000-01-01T00:00:00Z", "-502-04-12T05:20:00Z", None]
+
+
 def test_base64_is_strict(spark):
     df = spark.createDataFrame([("YWI=",), ("YWJj",), ("YWI",), ("YW I=",), ("YWJ=",), ("",), (None,), ("_w==",)], "t string")
     got = [r.b for r in df.select(text.base64_bytes(F.col("t")).alias("b")).collect()]

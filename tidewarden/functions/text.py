@@ -94,5 +94,8 @@ def utc_text(seconds: Column) -> Column:
     """Seconds since 1970 as YYYY-MM-DDTHH:MM:SSZ, whatever the session's time zone."""
     day, rest = F.floor(seconds / 86400), F.pmod(seconds, F.lit(86400))
     clock = [F.lpad((F.floor(rest / d) % m).cast("string"), 2, "0") for d, m in ((3600, 24), (60, 60), (1, 60))]
-    date = F.date_add(F.lit("1970-01-01").cast("date"), day.cast("int")).cast("string")
+    date = F.date_add(F.lit("1970-01-01").cast("date"), day.cast("int"))
+    # Years beyond four digits carry no sign, unlike Spark's own text of a date.
+    plain = F.year(date).between(0, 9999) | date.isNull()
+    date = F.when(plain, date.cast("string")).otherwise(F.format_string("%04d-%02d-%02d", F.year(date), F.month(date), F.day(date)))
     return F.concat(date, F.lit("T"), F.concat_ws(":", *clock), F.lit("Z"))
