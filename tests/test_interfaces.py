@@ -8,6 +8,7 @@ import threading
 import time
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -113,6 +114,27 @@ def test_drift_steps():
     assert kinds == ["unknown", "match", "error", "drift", "match"] and base["last_seen_iso"] == "t4"
 
 
+def test_a_call_of_the_stream_takes_many_programs():
+    class State(dict):
+        getValue = dict.get
+
+        def updateValue(self, key, value):
+            self[key] = value
+
+    held = State()
+    processor = drift.Drift("sha256")
+    processor.init(type("Handle", (), {"getMapState": lambda *_: held})())
+    plain, more = listed(tools("a")), listed(tools("a", "b"))
+    old = drift.manifest.fingerprint("old", plain, "blake3", True) | {"baseline_iso": "t", "last_seen_iso": "t"}
+    held[("old",)] = (json.dumps(old),)
+    rows = [("p", 3, more), ("q", 2, "{"), ("p", 1, plain), ("old", 4, plain), ("old", 5, more), ("q", 6, more)]
+    frames = (pd.DataFrame([{"program": p, "seq": k, "ts_iso": f"t{k}", "raw": raw}]) for p, k, raw in rows)
+    (out,) = processor.handleInputRows((0,), frames, None)
+    assert [(r.program, r.seq, r.kind) for r in out.itertuples()] == [("p", 1, "unknown"), ("q", 2, "error"), ("p", 3, "drift"), ("old", 4, "match"), ("old", 5, "drift"), ("q", 6, "unknown")]
+    after = {k[0]: json.loads(v[0]) for k, v in held.items()}
+    assert {p: (b["hash_backend"], b["baseline_iso"], b["last_seen_iso"]) for p, b in after.items()} == {"p": ("sha256", "t1", "t1"), "q": ("sha256", "t6", "t6"), "old": ("blake3", "t", "t4")}
+
+
 @pytest.fixture()
 def inspector(spark, tmp_path):
     return Inspector(spark, str(tmp_path / "home"))

@@ -85,8 +85,12 @@ def fingerprint_many(programs: list[str], raws: list[str | None], backend: str =
 
 def fingerprint(program: str, raw: str, backend: str = "blake3", jcs: bool = False) -> dict[str, Any] | None:
     """The columns of FINGERPRINT for one manifest."""
-    (made,) = fingerprint_many([program], [raw], backend, jcs)
-    return made and made | {"tools_count": len(made["tools"]), "hash_backend": backend, "jcs_canonical": jcs}
+    return whole_fingerprints([program], [raw], backend, jcs)[0]
+
+
+def whole_fingerprints(programs: list[str], raws: list[str | None], backend: str = "blake3", jcs: bool = False) -> list[dict[str, Any] | None]:
+    """The same for many."""
+    return [m and m | {"tools_count": len(m["tools"]), "hash_backend": backend, "jcs_canonical": jcs} for m in fingerprint_many(programs, raws, backend, jcs)]
 
 
 def fingerprints(manifests: DataFrame, raw: str = "raw", program: str = "program", backend: str = "blake3", jcs: bool = False) -> DataFrame:

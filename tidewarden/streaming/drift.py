@@ -4,6 +4,9 @@ Within a micro-batch a program's snapshots are taken in order of seq: the first
 readable one becomes the baseline if there is none, the others are compared with
 it. A match moves its last_seen_iso; drift changes nothing. With `ttl_days` a program's
 state expires that long after its last match.
+
+A call of the processor costs far more than a snapshot, so it takes a bucket of programs
+at once; the state maps each of the bucket's programs to its baseline.
 """
 
 from __future__ import annotations
@@ -14,19 +17,32 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidewarden.operators import manifest
 
 OUT = "program string, seq long, ts_iso string, kind string, aggregate_hash string, detail string, baseline_iso string"
+KEY = T.StructType([T.StructField("program", T.StringType())])
 STATE = T.StructType([T.StructField("baseline", T.StringType())])
+#: Part of the state's layout: a checkpoint holds for this number only.
+BUCKETS = 1024
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def step(program: str, row: dict[str, Any], base: dict[str, Any] | None, backend: str, jcs: bool) -> tuple[dict[str, Any], dict[str, Any] | None]:
     """(outcome, baseline after) of one snapshot."""
-    made = manifest.fingerprint(program, row["raw"], *((base["hash_backend"], base["jcs_canonical"]) if base else (backend, jcs)))
+    return judged(program, row, manifest.fingerprint(program, row["raw"], *kind(base, backend, jcs)), base)
+
+
+def kind(base: dict[str, Any] | None, backend: str, jcs: bool) -> tuple[str, bool]:
+    """How a program's snapshots are hashed: like its baseline, if it has one."""
+    return (base["hash_backend"], base["jcs_canonical"]) if base else (backend, jcs)
+
+
+def judged(program: str, row: dict[str, Any], made: dict[str, Any] | None, base: dict[str, Any] | None) -> tuple[dict[str, Any], dict[str, Any] | None]:
+    """The same of a snapshot whose fingerprint is made."""
     out: dict[str, Any] = {"program": program, "seq": row["seq"], "ts_iso": row["ts_iso"], "kind": "error", "aggregate_hash": None, "detail": None, "baseline_iso": None}
     if made is None:
         return out, base
@@ -44,19 +60,31 @@ class Drift(StatefulProcessor):
         self.backend, self.jcs, self.ttl = backend, jcs, ttl_days and ttl_days * 86_400_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("baseline", STATE, self.ttl)
+        self.state = handle.getMapState("baselines", KEY, STATE, self.ttl)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer: Any) -> Iterator[pd.DataFrame]:
-        held = self.state.get()
-        base = json.loads(held[0]) if held and held[0] else None
-        # One micro-batch's snapshots of one program; sources bound how much a batch takes.
-        batch = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
-        out = []
-        for row in batch.to_dict("records"):
-            made, base = step(key[0], row, base, self.backend, self.jcs)
-            out.append(made)
-        if any(o["kind"] in ("unknown", "match") for o in out):
-            self.state.update((json.dumps(base),))
+        # One micro-batch's snapshots of one bucket; sources bound how much a batch takes.
+        batch = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable").to_dict("records")
+        bases: dict[str, Any] = {}
+        for program in dict.fromkeys(row["program"] for row in batch):
+            held = self.state.getValue((program,))
+            bases[program] = json.loads(held[0]) if held and held[0] else None
+        # A baseline made on the way is hashed like the snapshots of programs without one.
+        kinds = [kind(bases[row["program"]], self.backend, self.jcs) for row in batch]
+        made: list[dict[str, Any] | None] = [None] * len(batch)
+        for k in dict.fromkeys(kinds):
+            at = [i for i, x in enumerate(kinds) if x == k]
+            for i, m in zip(at, manifest.whole_fingerprints([batch[i]["program"] for i in at], [batch[i]["raw"] for i in at], *k), strict=True):
+                made[i] = m
+        out, moved = [], {}
+        for row, m in zip(batch, made, strict=True):
+            program = row["program"]
+            said, bases[program] = judged(program, row, m, bases[program])
+            if said["kind"] in ("unknown", "match"):
+                moved[program] = bases[program]
+            out.append(said)
+        for program, base in moved.items():
+            self.state.updateValue((program,), (json.dumps(base),))
         yield pd.DataFrame(out, columns=[f.split()[0] for f in OUT.split(", ")])
 
     def close(self) -> None:
@@ -65,4 +93,5 @@ class Drift(StatefulProcessor):
 
 def outcomes(snapshots: DataFrame, backend: str = "blake3", jcs: bool = False, ttl_days: int | None = None) -> DataFrame:
     """Outcomes of a stream of snapshots (program, seq, ts_iso, raw); the session needs the RocksDB state store (PROVIDER)."""
-    return snapshots.select("program", "seq", "ts_iso", "raw").groupBy("program").transformWithStateInPandas(Drift(backend, jcs, ttl_days), OUT, "Append", "ProcessingTime" if ttl_days else "None")
+    bucket = F.pmod(F.xxhash64("program"), F.lit(BUCKETS)).alias("bucket")
+    return snapshots.select(bucket, "program", "seq", "ts_iso", "raw").groupBy("bucket").transformWithStateInPandas(Drift(backend, jcs, ttl_days), OUT, "Append", "ProcessingTime" if ttl_days else "None")
