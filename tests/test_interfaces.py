@@ -73,6 +73,17 @@ def test_stream_rereads_the_policy(spark, tmp_path):
     assert (tmp_path / "out" / "forwarded").is_dir() and got[0].seq == 0 and got[1].seq == 1 << 40
 
 
+def test_a_micro_batch_of_one_file_uses_all_cores(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "0.ndjson").write_text("".join(f'{{"id":{k},"method":"ping"}}\n' for k in range(40)))
+    stream = lines.stream_lines(spark, str(tmp_path / "in"), "inbound", "p")
+    messages.run(stream, Policy, str(tmp_path / "out"), str(tmp_path / "check"), lambda: "2024-01-01T00:00:00Z").awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out" / "messages"))
+    assert len(out.inputFiles()) == spark.sparkContext.defaultParallelism
+    assert [(r.seq, json.loads(r.raw)["id"]) for r in out.orderBy("seq").collect()] == [(k, k) for k in range(40)]
+    assert [json.loads(r.value)["id"] for r in spark.read.text(str(tmp_path / "out" / "forwarded")).collect()] == list(range(40))
+
+
 def test_numbers_are_gapless_in_any_number_of_partitions(spark):
     got = numbered(spark.range(300).repartition(200), 10).collect()
     assert sorted(r.seq for r in got) == list(range(10, 310))

@@ -59,3 +59,12 @@ def spread(df: DataFrame) -> DataFrame:
         return df  # dealt out already
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """df over all cores, materialised, if it has fewer partitions: what a micro-batch reads, or a checkpoint holds, tells no files.
+
+    Without the checkpoint Spark would put Python functions that follow before the exchange.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return materialised(df.repartition(cores)) if 0 < df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df

@@ -23,7 +23,7 @@ from tidewarden.operators import audit
 from tidewarden.operators.policy import Policy, decide, enforce
 from tidewarden.sources.lines import forwarded
 from tidewarden.sources.store import AUDIT, Log, Table
-from tidewarden.sources.work import numbered
+from tidewarden.sources.work import dealt, numbered
 
 LOG = logging.getLogger("tidewarden.streaming")
 
@@ -56,23 +56,21 @@ def run(lines: DataFrame, policy: Callable[[], Policy], out: str, checkpoint: st
     def batch(df: DataFrame, number: int) -> None:
         ruled, seen = policy(), Observation()
         # Numbers of a batch lie above those of the batches before it.
-        rows = numbered(df, number << 40).withColumn("ts_iso", F.lit(now()))
+        rows = dealt(numbered(df, number << 40)).withColumn("ts_iso", F.lit(now()))
         after = None
         if baselines is not None:
             decided, after = enforce(rows, ruled, baselines.read())
         else:
             decided = decide(rows, ruled)
-        decided = audit.measured(decided, seen).persist()
-        try:
-            decided.write.mode("overwrite").parquet(f"{out}/messages/batch={number}")
-            forwarded(decided.orderBy("seq")).write.mode("overwrite").text(f"{out}/forwarded/batch={number}")
-            log.append(audit.entries(decided.orderBy("seq")), f"batch-{number}")
-            if after is not None and ruled.tools_list_drift_detection != "off":
-                since = F.date_format(F.to_timestamp(F.lit(now())) - F.expr(f"INTERVAL {int(keep_days or 0)} DAYS"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-                baselines.update(lambda _: after.where(F.col("last_seen_iso") >= since) if keep_days else after)
-            LOG.info(json.dumps({"event": "batch", "batch": number} | {k: v or 0 for k, v in seen.get.items()}))
-        finally:
-            decided.unpersist()
+        decided, written = audit.measured(decided, seen), f"{out}/messages/batch={number}"
+        decided.write.mode("overwrite").parquet(written)
+        decided = decided.sparkSession.read.schema(decided.schema).parquet(written).orderBy("seq")  # decided once
+        forwarded(decided).write.mode("overwrite").text(f"{out}/forwarded/batch={number}")
+        log.append(audit.entries(decided), f"batch-{number}")
+        if after is not None and ruled.tools_list_drift_detection != "off":
+            since = F.date_format(F.to_timestamp(F.lit(now())) - F.expr(f"INTERVAL {int(keep_days or 0)} DAYS"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+            baselines.update(lambda _: after.where(F.col("last_seen_iso") >= since) if keep_days else after)
+        LOG.info(json.dumps({"event": "batch", "batch": number} | {k: v or 0 for k, v in seen.get.items()}))
 
     writer = lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
