@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import itertools
+from collections.abc import Iterable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,42 +47,124 @@ def _schema(tool: dict[str, Any]) -> tuple[list[str], list[str]]:
     return params, sorted((x for x in listed if isinstance(x, str)), key=_bytes) if isinstance(listed, list) else []
 
 
-def parts(raw: str | None, jcs: bool) -> list[dict[str, Any]] | None:
-    """The parts of each tool that are hashed, by name; None where there is no tool list or a tool without a name."""
+def parts(tool: dict[str, Any], jcs: bool) -> tuple[str, bytes, tuple[str, ...], bytes]:
+    """Name, described, parameter names and required names of a tool, as they are hashed."""
+    text = tool.get("description")
+    described = jsons.jcs(tool) if jcs else text if isinstance(text, str) else ""
+    params, required = _schema(tool)
+    names = tuple(sorted({canonical_name(p) for p in params}, key=_bytes))
+    return canonical_name(tool["name"]), _bytes(described), names, _bytes("".join(canonical_name(r) + "," for r in required))
+
+
+def tools_of(raw: str) -> list[dict[str, Any]] | None:
+    """The tools of a manifest, parsed whole; None where there is no tool list or a tool without a name."""
     try:
-        message = jsons.loads(raw or "")
-        tools = message["result"]["tools"]
-        if not isinstance(tools, list) or not all(isinstance(t["name"], str) for t in tools):
-            return None
+        tools = jsons.loads(raw)["result"]["tools"]
+        return tools if isinstance(tools, list) and all(isinstance(t["name"], str) for t in tools) else None
     except (ValueError, KeyError, TypeError, RecursionError):
         return None
-    out = []
-    for tool in tools:
-        text = tool.get("description")
-        described = jsons.jcs(tool) if jcs else text if isinstance(text, str) else ""
-        params, required = _schema(tool)
-        names = sorted({canonical_name(p) for p in params}, key=_bytes)
-        out.append({"name": canonical_name(tool["name"]), "described": described, "params": names, "required": "".join(canonical_name(r) + "," for r in required)})
-    return sorted(out, key=lambda t: _bytes(t["name"]))
 
 
-def fingerprint_many(programs: list[str], raws: list[str | None], backend: str = "blake3", jcs: bool = False) -> list[dict[str, Any] | None]:
-    """Tools and aggregate hash of each manifest; the hashes of all of them are taken side by side."""
+#: A line of a fingerprint: name, description hash, parameter names, hash of the required names.
+Line = list[Any]
+
+
+class _Hashes:
+    """Short hashes, taken side by side for up to `most` texts or `size` bytes at a time."""
+
+    def __init__(self, backend: str, most: int = 4096, size: int = 1 << 22):
+        self.backend, self.most, self.size = backend, most, size
+        self.texts: list[bytes] = []
+        self.places: list[tuple[Line, int]] = []
+        self.held = 0
+
+    def put(self, line: Line, slot: int, text: bytes) -> None:
+        self.texts.append(text)
+        self.places.append((line, slot))
+        self.held += len(text)
+        if len(self.texts) >= self.most or self.held >= self.size:
+            self.flush()
+
+    def flush(self) -> None:
+        for (line, slot), made in zip(self.places, _short(self.texts, self.backend), strict=True):
+            line[slot] = made
+        self.texts, self.places, self.held = [], [], 0
+
 
-    def short(texts: list[bytes]) -> Iterator[str]:
-        sums = crypto.blake3_many(texts) if backend == "blake3" else (hashlib.sha256(t).digest() for t in texts)
-        return (f"{backend}:{x[:16].hex()}" for x in sums)
+def _short(texts: list[bytes], backend: str) -> Iterator[str]:
+    sums = crypto.blake3_many(texts) if backend == "blake3" else (hashlib.sha256(t).digest() for t in texts)
+    return (f"{backend}:{x[:16].hex()}" for x in sums)
 
-    found = [parts(r, jcs) for r in raws]
-    each = short([_bytes(t[k]) for f in found if f for t in f for k in ("described", "required")])
-    lists = [None if f is None else [{"name": t["name"], "description_hash": next(each), "param_names": t["params"], "required_set_hash": next(each)} for t in f] for f in found]
+
+def _lines(raw: str | None, jcs: bool, hashes: _Hashes) -> list[Line] | None:
+    """The lines of a manifest, whose hashes will be there once `hashes` are flushed.
+
+    Tools are parsed one at a time; what cannot be read so is parsed whole.
+    """
+    same: dict[tuple[str, ...], tuple[str, ...]] = {}
+
+    def take(tools: Iterable[dict[str, Any]]) -> list[Line]:
+        out = []
+        for tool in tools:
+            name, described, params, required = parts(tool, jcs)
+            out.append(line := [name, None, same.setdefault(params, params), None])
+            hashes.put(line, 1, described)
+            hashes.put(line, 3, required)
+        return out
+
+    try:
+        out = take(jsons.items(raw or "", "result", "tools"))
+    except (ValueError, KeyError, TypeError, AttributeError, RecursionError):
+        tools = tools_of(raw or "")
+        out = None if tools is None else take(tools)
+    return out and sorted(out, key=lambda t: _bytes(t[0]))
+
+
+def line_lists(programs: Sequence[str], raws: Sequence[str | None], backend: str, jcs: bool) -> list[tuple[list[Line], str] | None]:
+    """Lines and aggregate hash of each manifest; the hashes of all of them are taken side by side."""
+    hashes = _Hashes(backend)
+    lists = [_lines(r, jcs, hashes) for r in raws]
+    hashes.flush()
     whole = []
     for program, tools in zip(programs, lists, strict=True):
         if tools is not None:
-            lines = "".join("\0".join((t["name"], t["description_hash"], "".join(p + "," for p in t["param_names"]), t["required_set_hash"])) + "\n" for t in tools)
+            lines = "".join("\0".join((name, described, "".join(p + "," for p in params), required)) + "\n" for name, described, params, required in tools)
             whole.append(_bytes(program) + len(tools).to_bytes(8, "little") + _bytes(lines))
-    sums = short(whole)
-    return [None if tools is None else {"tools": tools, "aggregate_hash": next(sums)} for tools in lists]
+    sums = _short(whole, backend)
+    return [None if tools is None else (tools, next(sums)) for tools in lists]
+
+
+def fingerprint_many(programs: list[str], raws: list[str | None], backend: str = "blake3", jcs: bool = False) -> list[dict[str, Any] | None]:
+    """Tools and aggregate hash of each manifest."""
+    names = ("name", "description_hash", "param_names", "required_set_hash")
+    made = line_lists(programs, raws, backend, jcs)
+    return [m and {"tools": [dict(zip(names, (n, d, list(p), r), strict=True)) for n, d, p, r in m[0]], "aggregate_hash": m[1]} for m in made]
+
+
+def _arrow(made: list[tuple[list[Line], str] | None]) -> pa.Array:
+    """MADE of each manifest, column by column."""
+    ends = list(itertools.accumulate((len(m[0]) if m else 0 for m in made), initial=0))
+    column = lambda k, t: pa.array((line[k] for m in made if m for line in m[0]), t)
+    tools = pa.StructArray.from_arrays([column(0, pa.string()), column(1, pa.string()), column(2, pa.list_(pa.string())), column(3, pa.string())], ["name", "description_hash", "param_names", "required_set_hash"])
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tools, mask=pa.array([m is None for m in made]))
+    return pa.StructArray.from_arrays([lists, pa.array([m and m[1] for m in made], pa.string())], ["tools", "aggregate_hash"])
+
+
+def _groups(programs: pa.Array, raws: pa.Array, size: int = 1 << 20) -> Iterator[tuple[list[str], list[str | None]]]:
+    """A batch's manifests in groups of about `size` characters, larger ones alone."""
+    names: list[str] = []
+    texts: list[str | None] = []
+    held = 0
+    for program, raw in zip(programs, raws, strict=True):
+        text = raw.as_py()
+        if names and held + len(text or "") > size:
+            yield names, texts
+            names, texts, held = [], [], 0
+        names.append(program.as_py() or "")
+        texts.append(text)
+        held += len(text or "")
+    if names:
+        yield names, texts
 
 
 def fingerprint(program: str, raw: str, backend: str = "blake3", jcs: bool = False) -> dict[str, Any] | None:
@@ -101,13 +185,12 @@ def fingerprints(manifests: DataFrame, raw: str = "raw", program: str = "program
     if backend not in crypto.BACKENDS:
         raise ValueError(f"hash backend {backend!r}")
 
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for programs, raws in batches:
-            made = fingerprint_many([p or "" for p in programs], list(raws), backend, jcs)
-            yield pd.DataFrame([m or {"tools": None, "aggregate_hash": None} for m in made], columns=["tools", "aggregate_hash"])
+            yield pa.chunked_array([_arrow(line_lists(*group, backend, jcs)) for group in _groups(programs, raws)] or [_arrow([])]).combine_chunks()
 
-    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
-    df = manifests.withColumn("_made", F.pandas_udf(run, MADE)(program, raw))
+    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    df = manifests.withColumn("_made", F.arrow_udf(run, MADE)(program, raw))
     readable = F.col("_made.tools").isNotNull()
     return df.withColumns({
         "tools_count": F.when(readable, F.size("_made.tools")), "aggregate_hash": F.col("_made.aggregate_hash"),
