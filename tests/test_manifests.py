@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -37,6 +38,32 @@ def test_known_fingerprints(spark):
         manifest.fingerprints(df, backend="md5")
 
 
+def test_tools_are_parsed_one_at_a_time():
+    plain = listed(tools("b", "a", "é"))
+    raws = [plain, listed([]), "", "{", "[]", "{}", '{"result":1}', '{"result":{"tools":{}}}', plain + " x", "\ufeff" + plain, " \n" + plain + "\t", plain[:-1], plain[:-2] + ",}}", plain[:-1] + ',"result":{"tools":[]}}', plain[:-2] + ',"tools":[{"name":"z"}]}}', '{"result":{"tools":[1]}}', '{"result":{"tools":[{"name":1}],"tools":[{"name":"x"}]}}', '{"result":{"tools":[{"name":"x"},]}}', '{"result":{"tools":[{"name":"x","v":NaN}]}}', '{"result" : { "n":[1,{"a":2}] , "tools" : [ {"name":"x"} , {"name":"y"} ] } , "id":1.0}', '{"result":{"tools":[{"name":"x"}]},"id":}']
+    for raw in raws:
+        whole = manifest.tools_of(raw)
+        try:
+            assert whole is None or list(jsons.items(raw, "result", "tools")) == whole
+        except ValueError:
+            pass  # left to the whole parser
+        (made,) = manifest.fingerprint_many(["p"], [raw])
+        assert (made and sorted(t["name"] for t in made["tools"])) == (whole if whole is None else sorted(t["name"] for t in whole))
+    assert [manifest.tools_of(r) is None for r in raws].count(False) == 7
+    assert list(jsons.items(raws[10], "result", "tools")) == manifest.tools_of(plain)
+
+
+def test_a_large_manifest_takes_memory_like_its_text():
+    raw = listed(tools(*(f"tool_{k}" for k in range(20000)), described="d" * 300, params=[f"param_{k}" for k in range(8)]))
+    manifest.line_lists(["p"], [listed(tools("a"))], "sha256", True)
+    tracemalloc.start()
+    try:
+        ((lines, _),) = manifest.line_lists(["p"], [raw], "sha256", True)
+        assert len(lines) == 20000 and tracemalloc.get_traced_memory()[1] < 1.5 * len(raw)
+    finally:
+        tracemalloc.stop()
+
+
 def snapshots(spark, *rows):
     return spark.createDataFrame([(p, i, f"2024-01-{i + 1:02}T00:00:00Z", raw) for i, (p, raw) in enumerate(rows)], "program string, seq int, ts_iso string, raw string")
 
