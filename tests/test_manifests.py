@@ -6,6 +6,7 @@ import base64
 import json
 import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +65,77 @@ def test_a_large_manifest_takes_memory_like_its_text():
         tracemalloc.stop()
 
 
+def latest(pieces):
+    found = None
+    try:
+        for x in jsons.items_in(pieces, "result", "tools"):
+            if x is jsons.START or x is jsons.GONE:
+                found = [] if x is jsons.START else None
+            else:
+                found.append(x)
+    except ValueError:
+        return None
+    return found
+
+
+def test_manifests_are_read_in_pieces():
+    plain = listed(tools("b", "é😀", described='\\ "[{,'))
+    raws = [plain, "", "{", plain[:-1], plain + "x", " \n" + plain + "\t", plain[:-1] + ',"result":{"tools":[]}}', plain[:-1] + ',"result":1}', plain[:-2] + ',"tools":[{"name":"z"}],"tools":[{"name":"y"}]}}', plain[:-2] + ',"tools":{}}}', '{"result":{"tools":[12.5e3,12,-0,"\\ud83d\\ude00",true,{"a":[1E5 , 2]}]},"id":1e2}', '{"result":{"tools":[1e999]}}', '{"result":{"tools":[-Infinity]}}', '{"result":{"tools":[1],"tools":[2,]}}', '{"result":{"tools":[' + "9" * 350 + ".5e-300]}}"]
+    for raw in raws:
+        try:
+            whole = jsons.loads(raw)["result"]["tools"]
+        except (ValueError, TypeError):
+            whole = None
+        for size in (1, 2, 3, 7, 40, 1000):
+            assert latest(raw[k : k + size] for k in range(0, len(raw), size)) == (whole if isinstance(whole, list) else None)
+
+
+def test_blake3_in_pieces():
+    for size in (0, 1, 1024, 4096, 4097, 8192, 8193, 12289, 20000, 70000):
+        data = bytes(k * k % 251 for k in range(size))
+        made = crypto.Blake3(most=4)
+        for k in range(0, size, 1500):
+            made.update(data[k : k + 1500])
+        assert made.digest() == crypto.blake3(data)
+
+
+@pytest.mark.parametrize("backend", ["sha256", "blake3"])
+def test_large_manifests(spark, backend, monkeypatch):
+    monkeypatch.setattr(manifest._Sorted.__init__, "__defaults__", (700, 50))
+    large = tools(*(f"é{k % 2500}😀" for k in range(4000)), described="d" * 300, params=("q", "é"))
+    for k, tool in enumerate(large):
+        tool["description"] += str(k)
+    raw, small = json.dumps(json.loads(listed(large)), ensure_ascii=False), listed(tools("b", "a"))
+    assert len(raw) > 1 << 20
+    raws = [small, raw, None, raw[:-1], listed([]), raw[:-2] + ',"tools":[{"name":"z"}]}}', raw[:-1] + ',"result":1}', raw.replace('"name": "é9😀"', '"name": 9'), small, "x" * (1 << 21)]
+    want = manifest.fingerprint_many([f"p{k}" for k in range(len(raws))], raws, backend)
+    assert [w and len(w["tools"]) for w in want] == [2, 4000, None, None, 0, 1, None, None, 2, None]
+    assert want[1]["aggregate_hash"] == manifest._short([b"p1" + (4000).to_bytes(8, "little") + b"".join(manifest._hashed(list(t.values())) for t in want[1]["tools"])], backend).__next__()
+    df = spark.createDataFrame([(f"p{k}", k, r) for k, r in enumerate(raws)], "program string, k int, raw string").coalesce(1)
+    rows = manifest.fingerprints(df, backend=backend).collect()
+    assert [(r.k, r.raw, r.aggregate_hash, r.tools and [t.asDict() for t in r.tools]) for r in rows] == [(k, r, w and w["aggregate_hash"], w and w["tools"]) for k, (r, w) in enumerate(zip(raws, want))]
+    assert [(r.program, r.tools_count, r.aggregate_hash) for r in manifest.aggregates(df, backend=backend).collect()] == [(f"p{k}", w and len(w["tools"]), w and w["aggregate_hash"]) for k, w in enumerate(want)]
+    assert [r.asDict() for r in manifest.tool_rows(df, backend=backend, keep=("k",)).collect()] == [{"k": k} | t for k, w in enumerate(want) if w for t in w["tools"]]
+    bad = spark.range(1).selectExpr("'p' AS program", "cast(x'7bff7d' AS string) AS raw")
+    assert manifest.aggregates(bad, backend=backend).first().tools_count is None
+
+
+def test_memory_of_a_large_manifest_does_not_grow(monkeypatch):
+    monkeypatch.setattr(manifest._Sorted.__init__, "__defaults__", (1 << 10, 8))
+    monkeypatch.setattr(manifest, "TOOLS", 256)
+    peaks = []
+    for count in (1, 6000, 18000):
+        text = listed(tools(*(f"tool_{k}" for k in range(count)), params=[f"param_{k}" for k in range(4)])).encode()
+        batches = (pa.RecordBatch.from_pylist([{"_row": None if k else 7, "_program": None if k else "p", "_piece": text[k : k + 2000], "_size": None if k else len(text)}], pa.schema({"_row": pa.int32(), "_program": pa.string(), "_piece": pa.binary(), "_size": pa.int32()})) for k in range(0, len(text), 2000))
+        tracemalloc.start()
+        try:
+            assert sum(len(read[3].values) for read in manifest._read(batches, "sha256", False, "blocks")) == count
+            peaks.append(tracemalloc.get_traced_memory()[1])
+        finally:
+            tracemalloc.stop()
+    assert peaks[2] < 1.5 * peaks[1] and peaks[2] < len(text) / 4  # thrice the text; a block a run more
+
+
 def snapshots(spark, *rows):
     return spark.createDataFrame([(p, i, f"2024-01-{i + 1:02}T00:00:00Z", raw) for i, (p, raw) in enumerate(rows)], "program string, seq int, ts_iso string, raw string")
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import codecs
 import hashlib
+import heapq
 import itertools
+import pickle
+import tempfile
 from collections.abc import Iterable, Iterator, Sequence
 from typing import Any
 
@@ -11,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewarden.functions import crypto, jsons
 from tidewarden.functions.text import WHITE_SPACE
@@ -22,6 +27,8 @@ TOOL = "struct<name:string,description_hash:string,param_names:array<string>,req
 FINGERPRINT = ("tools_count", "aggregate_hash", "hash_backend", "jcs_canonical", "tools")
 
 MADE = f"struct<tools:array<{TOOL}>,aggregate_hash:string>"
+#: Bytes of a manifest that go to Python in a row (10,000 rows are an Arrow batch), and tools that come back in one.
+PIECE, TOOLS = 1 << 11, 4096
 
 
 def _bytes(text: str) -> bytes:
@@ -96,28 +103,90 @@ def _short(texts: list[bytes], backend: str) -> Iterator[str]:
     return (f"{backend}:{x[:16].hex()}" for x in sums)
 
 
-def _lines(raw: str | None, jcs: bool, hashes: _Hashes) -> list[Line] | None:
-    """The lines of a manifest, whose hashes will be there once `hashes` are flushed.
+def _name(line: Line) -> bytes:
+    return _bytes(line[0])
+
+
+class _Sorted:
+    """Lines that come back in the order of their names; `most` are held and, at the end, a block of each sorted run, which are in a file."""
+
+    def __init__(self, hashes: _Hashes, most: int = 1 << 14, block: int = 256):
+        self.hashes, self.most, self.block, self.file = hashes, most, block, tempfile.TemporaryFile()
+        self.clear()
+
+    def clear(self) -> None:
+        self.held: list[Line] = []
+        self.runs: list[tuple[int, int]] = []  # where they begin, and their blocks
+        self.count = 0
+        self.file.seek(0)
+        self.file.truncate()
+
+    def append(self, line: Line) -> None:
+        self.held.append(line)
+        self.count += 1
+        if len(self.held) >= self.most:
+            lines = self._rest()
+            self.runs.append((self.file.tell(), -(-len(lines) // self.block)))
+            for k in range(0, len(lines), self.block):
+                pickle.dump(lines[k : k + self.block], self.file)
+            self.held = []
+
+    def _rest(self) -> list[Line]:
+        self.hashes.flush()
+        return sorted(self.held, key=_name)
+
+    def _run(self, at: int, blocks: int) -> Iterator[Line]:
+        for _ in range(blocks):
+            self.file.seek(at)
+            lines = pickle.load(self.file)
+            at = self.file.tell()
+            yield from lines
+
+    def __iter__(self) -> Iterator[Line]:
+        return heapq.merge(*(self._run(*r) for r in self.runs), self._rest(), key=_name)
 
-    Tools are parsed one at a time; what cannot be read so is parsed whole.
+
+def _take(pieces: Iterable[str], jcs: bool, hashes: _Hashes, lines: list[Line] | _Sorted) -> bool:
+    """Puts the lines of a manifest, whose hashes will be there once `hashes` are flushed, into `lines`; tools are parsed one at a time.
+
+    False where there is no tool list or a tool without a name.
     """
     same: dict[tuple[str, ...], tuple[str, ...]] = {}
+    found = False
+    try:
+        for tool in jsons.items_in(pieces, "result", "tools"):
+            if tool is jsons.START or tool is jsons.GONE:
+                lines.clear()
+                found = tool is jsons.START
+            elif found and isinstance(tool, dict) and isinstance(tool.get("name"), str):
+                name, described, params, required = parts(tool, jcs)
+                if len(same) > TOOLS:
+                    same.clear()
+                line = [name, None, same.setdefault(params, params), None]
+                hashes.put(line, 1, described)
+                hashes.put(line, 3, required)
+                lines.append(line)
+            else:
+                found = False
+    except (ValueError, RecursionError):
+        return False
+    return found
 
-    def take(tools: Iterable[dict[str, Any]]) -> list[Line]:
-        out = []
-        for tool in tools:
-            name, described, params, required = parts(tool, jcs)
-            out.append(line := [name, None, same.setdefault(params, params), None])
-            hashes.put(line, 1, described)
-            hashes.put(line, 3, required)
-        return out
 
-    try:
-        out = take(jsons.items(raw or "", "result", "tools"))
-    except (ValueError, KeyError, TypeError, AttributeError, RecursionError):
-        tools = tools_of(raw or "")
-        out = None if tools is None else take(tools)
-    return out and sorted(out, key=lambda t: _bytes(t[0]))
+def _lines(raw: str | None, jcs: bool, hashes: _Hashes) -> list[Line] | None:
+    """The lines of a manifest that is held, in the order of their names."""
+    lines: list[Line] = []
+    return sorted(lines, key=_name) if _take([raw or ""], jcs, hashes, lines) else None
+
+
+def _hashed(line: Line) -> bytes:
+    """A line as it goes into the aggregate hash."""
+    name, described, params, required = line
+    return _bytes("\0".join((name, described, "".join(p + "," for p in params), required)) + "\n")
+
+
+def _head(program: str, count: int) -> bytes:
+    return _bytes(program) + count.to_bytes(8, "little")
 
 
 def line_lists(programs: Sequence[str], raws: Sequence[str | None], backend: str, jcs: bool) -> list[tuple[list[Line], str] | None]:
@@ -128,8 +197,7 @@ def line_lists(programs: Sequence[str], raws: Sequence[str | None], backend: str
     whole = []
     for program, tools in zip(programs, lists, strict=True):
         if tools is not None:
-            lines = "".join("\0".join((name, described, "".join(p + "," for p in params), required)) + "\n" for name, described, params, required in tools)
-            whole.append(_bytes(program) + len(tools).to_bytes(8, "little") + _bytes(lines))
+            whole.append(_head(program, len(tools)) + b"".join(map(_hashed, tools)))
     sums = _short(whole, backend)
     return [None if tools is None else (tools, next(sums)) for tools in lists]
 
@@ -141,30 +209,96 @@ def fingerprint_many(programs: list[str], raws: list[str | None], backend: str =
     return [m and {"tools": [dict(zip(names, (n, d, list(p), r), strict=True)) for n, d, p, r in m[0]], "aggregate_hash": m[1]} for m in made]
 
 
-def _arrow(made: list[tuple[list[Line], str] | None]) -> pa.Array:
-    """MADE of each manifest, column by column."""
-    ends = list(itertools.accumulate((len(m[0]) if m else 0 for m in made), initial=0))
-    column = lambda k, t: pa.array((line[k] for m in made if m for line in m[0]), t)
-    tools = pa.StructArray.from_arrays([column(0, pa.string()), column(1, pa.string()), column(2, pa.list_(pa.string())), column(3, pa.string())], ["name", "description_hash", "param_names", "required_set_hash"])
-    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tools, mask=pa.array([m is None for m in made]))
-    return pa.StructArray.from_arrays([lists, pa.array([m and m[1] for m in made], pa.string())], ["tools", "aggregate_hash"])
+def _tools(lines: Sequence[Line]) -> pa.Array:
+    """Lines as an array of TOOL, column by column."""
+    column = lambda k, t: pa.array((line[k] for line in lines), t)
+    return pa.StructArray.from_arrays([column(0, pa.string()), column(1, pa.string()), column(2, pa.list_(pa.string())), column(3, pa.string())], ["name", "description_hash", "param_names", "required_set_hash"])
 
 
-def _groups(programs: pa.Array, raws: pa.Array, size: int = 1 << 20) -> Iterator[tuple[list[str], list[str | None]]]:
-    """A batch's manifests in groups of about `size` characters, larger ones alone."""
-    names: list[str] = []
+#: What is read of a manifest: its row, count and aggregate hash (null where it is unreadable), and tools.
+Read = tuple[pa.Array, Sequence[int | None], Sequence[str | None], pa.Array]
+
+
+def _lists(tools: pa.Array, sizes: Sequence[int | None]) -> pa.Array:
+    ends = list(itertools.accumulate((n or 0 for n in sizes), initial=0))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tools, mask=pa.array([n is None for n in sizes]))
+
+
+def _read_together(rows: list[pa.Array], programs: list[str], texts: list[str | None], backend: str, jcs: bool) -> Read:
+    made = line_lists(programs, texts, backend, jcs)
+    sizes = [m and len(m[0]) for m in made]
+    return pa.concat_arrays(rows), sizes, [m and m[1] for m in made], _lists(_tools([line for m in made if m for line in m[0]]), sizes)
+
+
+def _read_alone(row: pa.Array, program: str, texts: Iterable[str], backend: str, jcs: bool, form: str) -> Iterator[Read]:
+    """A large manifest, of which Python holds some pieces, some lines and, where `tools` are to be in one row, those."""
+    hashes = _Hashes(backend)
+    lines = _Sorted(hashes)
+    if not _take(texts, jcs, hashes, lines):
+        yield row, [None], [None], _lists(_tools([]), [None])
+        return
+    whole = crypto.hasher(backend)
+    whole.update(_head(program, lines.count))
+    for line in lines:
+        whole.update(_hashed(line))
+    found = f"{backend}:{whole.digest()[:16].hex()}"
+    if form == "count":
+        yield row, [lines.count], [found], _lists(_tools([]), [0])
+        return
+    blocks = (_tools(block) for block in itertools.batched(lines, TOOLS))
+    if form == "tools":
+        blocks = [pa.concat_arrays([_tools([]), *blocks])]
+    for block in blocks:
+        yield row, [lines.count], [found], _lists(block, [len(block)])
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], most: int = 32) -> Iterator[tuple[int, int | None, pa.Array | None, str | None, bytes]]:
+    """Number, and of its first piece the size, row and program of a manifest, with up to `most` pieces of its text."""
+    number = 0
+    for batch in batches:
+        row, program, piece, size = (batch.column(c) for c in ("_row", "_program", "_piece", "_size"))
+        sizes = size.to_pylist()
+        at = 0
+        while at < len(sizes):
+            end = at + 1
+            while end < min(len(sizes), at + most) and sizes[end] is None:
+                end += 1
+            begins = sizes[at] is not None
+            number += begins
+            yield number, sizes[at], row.take([at]) if begins else None, program[at].as_py(), b"".join(filter(None, piece[at:end].to_pylist()))
+            at = end
+
+
+def _decoded(pieces: Iterable[bytes]) -> Iterator[str]:
+    decode = codecs.getincrementaldecoder("utf-8")().decode
+    yield from map(decode, pieces)
+    yield decode(b"", True)
+
+
+def _read(batches: Iterator[pa.RecordBatch], backend: str, jcs: bool, form: str, size: int = 1 << 20) -> Iterator[Read]:
+    """Manifests are read in groups of about `size` bytes, larger ones alone."""
+    rows: list[pa.Array] = []
+    programs: list[str] = []
     texts: list[str | None] = []
     held = 0
-    for program, raw in zip(programs, raws, strict=True):
-        text = raw.as_py()
-        if names and held + len(text or "") > size:
-            yield names, texts
-            names, texts, held = [], [], 0
-        names.append(program.as_py() or "")
-        texts.append(text)
-        held += len(text or "")
-    if names:
-        yield names, texts
+    for _, manifest in itertools.groupby(_pieces(batches), key=lambda p: p[0]):
+        _, long, row, program, piece = next(manifest)
+        if rows and held + long > size:
+            yield _read_together(rows, programs, texts, backend, jcs)
+            rows, programs, texts, held = [], [], [], 0
+        data = itertools.chain([piece], (p[-1] for p in manifest))
+        if long > size:
+            yield from _read_alone(row, program, _decoded(data), backend, jcs, form)
+            continue
+        try:
+            texts.append(b"".join(data).decode())
+        except UnicodeDecodeError:
+            texts.append(None)
+        rows.append(row)
+        programs.append(program)
+        held += long + 256
+    if rows:
+        yield _read_together(rows, programs, texts, backend, jcs)
 
 
 def fingerprint(program: str, raw: str, backend: str = "blake3", jcs: bool = False) -> dict[str, Any] | None:
@@ -177,25 +311,55 @@ def whole_fingerprints(programs: list[str], raws: list[str | None], backend: str
     return [m and m | {"tools_count": len(m["tools"]), "hash_backend": backend, "jcs_canonical": jcs} for m in fingerprint_many(programs, raws, backend, jcs)]
 
 
-def fingerprints(manifests: DataFrame, raw: str = "raw", program: str = "program", backend: str = "blake3", jcs: bool = False) -> DataFrame:
-    """manifests with the columns of FINGERPRINT; tools is null where the manifest has none to read.
+def _made(form: str, manifests: DataFrame, raw: str, program: str, backend: str, jcs: bool, keep: Sequence[str] | None) -> DataFrame:
+    """The kept columns, tools_count, aggregate_hash and, but for the form `count`, tools: all in one row, or by the form `blocks` up to TOOLS of them.
 
-    Parsing needs Python, so the hashes are taken in the same Arrow batch.
+    Parsing needs Python, so the hashes are taken there too. Texts go there in pieces of PIECE bytes, in order,
+    with a manifest's kept columns beside its first piece.
     """
     if backend not in crypto.BACKENDS:
         raise ValueError(f"hash backend {backend!r}")
 
-    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for programs, raws in batches:
-            yield pa.chunked_array([_arrow(line_lists(*group, backend, jcs)) for group in _groups(programs, raws)] or [_arrow([])]).combine_chunks()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, sizes, hashes, tools in _read(batches, backend, jcs, form):
+            columns = {"_row": row, "tools_count": pa.array(sizes, pa.int32()), "aggregate_hash": pa.array(hashes, pa.string())}
+            yield pa.RecordBatch.from_pydict(columns if form == "count" else columns | {"tools": tools})
+
+    kept = F.struct(*(F.col(f"`{c}`") for c in (manifests.columns if keep is None else keep)), F.lit(0).alias("_"))
+    size = F.coalesce(F.length("_data"), F.lit(0))
+    texts = manifests.select(kept.alias("_row"), F.coalesce(program, F.lit("")).alias("_program"), F.col(raw).cast("binary").alias("_data"))
+    pieces = texts.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.greatest(size, F.lit(1)) - 1) / PIECE).cast("int"))).alias("_at"))
+    pieces = pieces.select(
+        *(F.when(F.col("_at") == 0, c).alias(n) for c, n in ((F.col("_row"), "_row"), (F.col("_program"), "_program"), (size, "_size"))),
+        F.substring("_data", F.col("_at") * PIECE + 1, F.lit(PIECE)).alias("_piece"),
+    )
+    out = pieces.mapInArrow(run, T.StructType([pieces.schema["_row"], *T.StructType.fromDDL("tools_count int, aggregate_hash string" + f", tools array<{TOOL}>" * (form != "count"))]))
+    return out.select("_row.*", *out.columns[1:]).drop("_")
+
+
+def fingerprints(manifests: DataFrame, raw: str = "raw", program: str = "program", backend: str = "blake3", jcs: bool = False, keep: Sequence[str] | None = None) -> DataFrame:
+    """manifests, or their columns `keep`, with the columns of FINGERPRINT; tools is null where the manifest has none to read.
+
+    A manifest's tools are one value here, and so is its text if it is kept; tool_rows and aggregates hold neither in Python.
+    """
+    return _finished(_made("tools", manifests, raw, program, backend, jcs, keep), backend, jcs)
+
+
+def aggregates(manifests: DataFrame, raw: str = "raw", program: str = "program", backend: str = "blake3", jcs: bool = False, keep: Sequence[str] = ("program",)) -> DataFrame:
+    """The same without tools."""
+    return _finished(_made("count", manifests, raw, program, backend, jcs, keep), backend, jcs)
+
+
+def _finished(made: DataFrame, backend: str, jcs: bool) -> DataFrame:
+    made = made.withColumns({"hash_backend": F.lit(backend), "jcs_canonical": F.lit(jcs)})
+    last = [c for c in FINGERPRINT if c in made.columns]
+    return made.select(*(f"`{c}`" for c in made.columns if c not in last), *last)
+
 
-    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
-    df = manifests.withColumn("_made", F.arrow_udf(run, MADE)(program, raw))
-    readable = F.col("_made.tools").isNotNull()
-    return df.withColumns({
-        "tools_count": F.when(readable, F.size("_made.tools")), "aggregate_hash": F.col("_made.aggregate_hash"),
-        "hash_backend": F.lit(backend), "jcs_canonical": F.lit(jcs), "tools": F.col("_made.tools"),
-    }).drop("_made")
+def tool_rows(manifests: DataFrame, raw: str = "raw", program: str = "program", backend: str = "blake3", jcs: bool = False, keep: Sequence[str] = ("program",)) -> DataFrame:
+    """A row for each tool of each readable manifest: the columns `keep` and those of TOOL."""
+    made = _made("blocks", manifests, raw, program, backend, jcs, keep)
+    return made.select(*(f"`{c}`" for c in keep), F.inline("tools"))
 
 
 def difference(base: list[dict[str, Any]], current: list[dict[str, Any]]) -> dict[str, Any]:
@@ -289,7 +453,7 @@ def observe(snapshots: DataFrame, baselines: DataFrame | None = None, order: str
 
 def re_baseline(baselines: DataFrame, manifests: DataFrame, now: str, backend: str = "blake3", jcs: bool = False) -> DataFrame:
     """Baselines with those of the manifests' (program, raw) programs replaced or added."""
-    new = fingerprints(manifests, backend=backend, jcs=jcs).where("tools IS NOT NULL").select("program", F.lit(now).alias("baseline_iso"), F.lit(now).alias("last_seen_iso"), *FINGERPRINT)
+    new = fingerprints(manifests, backend=backend, jcs=jcs, keep=("program",)).where("tools IS NOT NULL").select("program", F.lit(now).alias("baseline_iso"), F.lit(now).alias("last_seen_iso"), *FINGERPRINT)
     return baselines.join(new.select("program"), "program", "left_anti").select(*new.columns).unionByName(new)
 
 

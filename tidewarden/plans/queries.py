@@ -332,15 +332,15 @@ _TOOLS = f"SELECT *, 'sha256:' || substr(sha256(array_to_string(list_transform(p
 
 @query(f"SELECT program, name, dh AS description_hash, array_to_string(params, ',') AS params, rh AS required_set_hash FROM ({_TOOLS})")
 def manifest_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = manifest.fingerprints(part_manifests(spark, sf_dir), backend="sha256")
-    return made.select("program", F.inline("tools")).select("program", "name", "description_hash", F.array_join("param_names", ",").alias("params"), "required_set_hash")
+    made = manifest.tool_rows(part_manifests(spark, sf_dir), backend="sha256")
+    return made.select("program", "name", "description_hash", F.array_join("param_names", ",").alias("params"), "required_set_hash")
 
 
 @query(f"""
 WITH t AS ({_TOOLS}), l AS (SELECT program, count(*) AS n, string_agg(name || chr(0) || dh || chr(0) || array_to_string(list_transform(params, lambda p: p || ','), '') || chr(0) || rh || chr(10), '' ORDER BY encode(name)) AS body FROM t GROUP BY program)
 SELECT program, CAST(n AS INT) AS tools_count, 'sha256:' || substr(sha256(encode(program) || unhex(printf('%02X', n % 256) || printf('%02X', n // 256) || '000000000000') || encode(body)), 1, 32) AS aggregate_hash FROM l""")
 def fingerprint_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manifest.fingerprints(part_manifests(spark, sf_dir), backend="sha256").select("program", "tools_count", "aggregate_hash")
+    return manifest.aggregates(part_manifests(spark, sf_dir), backend="sha256").select("program", "tools_count", "aggregate_hash")
 
 
 @query(f"""
@@ -350,12 +350,12 @@ def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifests written to a file each and read back whole."""
     root = f"{new_folder(spark)}/manifests"
     part_manifests(spark, sf_dir).repartition("program").write.partitionBy("program").text(root)
-    return manifest.fingerprints(lines.read_manifests(spark, f"{root}/*", "/srv/file"), backend="sha256").select("tools_count", "aggregate_hash")
+    return manifest.aggregates(lines.read_manifests(spark, f"{root}/*", "/srv/file"), backend="sha256").select("tools_count", "aggregate_hash")
 
 
 @query()
 def fingerprint_blake3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manifest.fingerprints(part_manifests(spark, sf_dir), backend="blake3", jcs=True).select("program", "tools_count", "aggregate_hash")
+    return manifest.aggregates(part_manifests(spark, sf_dir), backend="blake3", jcs=True).select("program", "tools_count", "aggregate_hash")
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -527,7 +527,7 @@ def baseline_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def brands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manifest.fingerprints(part_manifests(spark, sf_dir), backend="sha256").select("program", "tools")
+    return manifest.fingerprints(part_manifests(spark, sf_dir), backend="sha256", keep=("program",)).select("program", "tools")
 
 
 _CALLED = f"""SELECT p_partkey, p_brand AS program, CASE p_partkey % 4 WHEN 0 THEN translate(n, '{CYRILLIC[0]}', '{CYRILLIC[1]}') WHEN 1 THEN upper(n) WHEN 2 THEN n ELSE n || '_new' END AS tool
